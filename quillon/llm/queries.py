@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, token_blocks
+from quillon.llm import bpe, quality, token_blocks, toxicity
 
 QUERIES = {
+    "op6_quality_random_indexing": quality.op6,
+    "op7_toxicity_counterfactual": toxicity.op7,
     "op8_bpe_segment_tree": bpe.op8,
     "op9_token_blocks": token_blocks.op9,
 }

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quillon.llm import bpe, quality, token_blocks, toxicity
+from quillon.llm import block_join, bpe, quality, token_blocks, toxicity, url_filter
 
 QUERIES = {
+    "op1_url_markov_ratio": url_filter.op1,
+    "op2_block_matrix_join": block_join.op2,
     "op6_quality_random_indexing": quality.op6,
     "op7_toxicity_counterfactual": toxicity.op7,
     "op8_bpe_segment_tree": bpe.op8,
     "op9_token_blocks": token_blocks.op9,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_block_matrix_join": block_join.ORACLE2,
+}

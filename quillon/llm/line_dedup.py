@@ -96,12 +96,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return later.select("id", "key", F.struct("start", F.get("ends", common).alias("end")).alias("run")).groupBy("id", "key").agg(F.collect_list("run").alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """docs with the later runs deleted from text_col, and behind its columns
-    n_lines and n_removed (lines before, and deleted; 0 for null text), in
+    lines_col and removed_col (lines before, and deleted; 0 for null text), in
     place of any columns of those names. One row for each row."""
     runs = repeated_runs(docs, id_col, text_col, min_words).toDF("_run_id", "_run_key", "_runs")
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(lines_col, removed_col)
     joined = docs.join(runs, F.col(id_col).eqNullSafe(F.col("_run_id")) & (F.xxhash64(text_col) == F.col("_run_key")), "left").drop("_run_id", "_run_key")
     names = docs.columns
     at, n = names.index(text_col), len(names)
@@ -121,9 +121,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     texts[i] = "\n".join([x for k, x in enumerate(kept) if k not in gone])
             columns = batch.columns[:n]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, lines_col, removed_col])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lines_col, T.LongType()), T.StructField(removed_col, T.LongType())])
     return joined.mapInArrow(delete, schema)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import block_join, bpe, decontaminate, line_dedup, near_dedup, quality, token_blocks, toxicity, url_filter
+from quillon.llm import block_join, bpe, decontaminate, line_dedup, near_dedup, pii, quality, token_blocks, toxicity, url_filter
 
 QUERIES = {
     "op1_url_markov_ratio": url_filter.op1,
     "op2_block_matrix_join": block_join.op2,
     "op3_prefix_decontamination": decontaminate.op3,
+    "op4_disclosure_pii": pii.op4,
     "op5_bayesian_minhash": near_dedup.op5,
     "op6_quality_random_indexing": quality.op6,
     "op7_toxicity_counterfactual": toxicity.op7,

@@ -29,7 +29,7 @@ from quillon.llm.labelled import crc_mod, labelled_sample, labelled_texts, with_
 WORD = re.compile(r"[^\W\d_]+")
 FEATURES = 1 << 20
 #: Labelled rows that are learned from, at most.
-MOST_LABELLED = 12_000
+MOST_LABELLED = 6_000
 #: Features of fewer labelled rows have no weight.
 LEAST_ROWS = 4
 CACHE_WORDS = 500_000
@@ -77,7 +77,7 @@ def words_of(text: str) -> set[str]:
 
 
 def features_of(words: set[str]) -> np.ndarray:
-    return np.unique(np.fromiter((f for w in words for f in features(w)), np.int64))
+    return np.unique(np.fromiter((f for w in words for f in features(w)), np.int32))
 
 
 @dataclass
@@ -115,14 +115,16 @@ class ToxicityModel:
 def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], strength: float = 2.0, sparse: float = 2e-4, rounds: int = 400) -> tuple[dict[int, float], float]:
     """Weights and bias by proximal Adam: log-loss, balanced by class, an L1
     term and strength times the mean squared change over the swapped pairs."""
-    count = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=FEATURES)
+    count = np.zeros(FEATURES, np.int64)
+    for r in rows:
+        count[r] += 1
     used = np.nonzero(count >= LEAST_ROWS)[0]
-    place = np.full(FEATURES, -1)
+    place = np.full(FEATURES, -1, np.int32)
     place[used] = np.arange(len(used))
 
     def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         cols = [place[s][place[s] >= 0] for s in sets]
-        return np.concatenate([*cols, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), [len(c) for c in cols])
+        return np.concatenate([*cols, np.zeros(0, np.int32)]), np.repeat(np.arange(len(sets), dtype=np.int32), [len(c) for c in cols])
 
     col, row = flat(rows)
     pc, pr = flat([a for a, _ in pairs])
@@ -165,20 +167,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, label_col: str
                 own.append(features_of(words))
                 named = words & other.keys()
                 swapped.append(features_of((words - named) | {other[w] for w in named}) if named else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.int64())), pa.array(swapped, pa.list_(pa.int64()))], ["_id", "_label", "own", "swapped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))], ["_id", "_label", "own", "swapped"])
 
     pairs = labelled_texts(docs, labelled_sample(labels, label_col, F.lit(True) if learn is None else learn, most))
     kind = pairs.schema["_id"].dataType.simpleString()
-    got = pairs.mapInArrow(run, f"_id {kind}, _label double, own array<bigint>, swapped array<bigint>")
-    got = got.withColumn("own", F.col("own").cast("array<int>")).withColumn("swapped", F.col("swapped").cast("array<int>")).toPandas().sort_values("_id", kind="stable")
+    got = pairs.mapInArrow(run, f"_id {kind}, _label double, own array<int>, swapped array<int>").toPandas().sort_values("_id", kind="stable")
     y = got["_label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, 0.0, float(y.mean()) if len(y) else 0.5)
-    rows = [np.asarray(r, np.int64) for r in got["own"]]
-    changed = [(a, np.asarray(b, np.int64)) for a, b in zip(rows, got["swapped"], strict=True) if b is not None]
+    rows = [np.asarray(r, np.int32) for r in got["own"]]
+    changed = [(a, np.asarray(b, np.int32)) for a, b in zip(rows, got["swapped"], strict=True) if b is not None]
     other = swaps()
     for sentence in NEUTRAL:
         changed += [(features_of(words_of(sentence.format(a))), features_of(words_of(sentence.format(b)))) for a, b in other.items()]
+    del got
     weights, bias = train(rows, y, changed)
     return ToxicityModel(weights, bias)
 

@@ -25,6 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: White space as the tokenizer's own regex engine has it.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
+#: Letters outside these ranges may be newer to one Unicode table than another;
+#: the library itself cuts texts that hold them.
+UNSURE = regex.compile(r"[^\x00-\u0557\u0600-\u06ff\u2000-\u206f\u20a0-\u20bf\u2100-\u214f\u2190-\u23ff\u2500-\u27bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]")
 #: More words than this are not kept in a worker's memory at once.
 CACHE_WORDS = 400_000
 NONE = np.iinfo(np.int64).max
@@ -61,6 +64,7 @@ class WordBpe:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.rank_of = dict(zip(keys.tolist(), range(len(pairs)), strict=True))
         self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.content, self.split_rule, self.library = content, split["pattern"]["Regex"], None
 
     # words ---------------------------------------------------------------
 
@@ -77,6 +81,12 @@ class WordBpe:
         return out + self._plain_words(text[at:])
 
     def _plain_words(self, text: str) -> list[str]:
+        if not text.isascii() and UNSURE.search(text):
+            if self.library is None:
+                from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+                self.library = Tokenizer.from_str(self.content).normalizer, pre_tokenizers.Split(Regex(self.split_rule), "removed", invert=True)
+            return [w for w, _ in self.library[1].pre_tokenize_str(self.library[0].normalize_str(text))]
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return self.word_pattern.findall(text)
 

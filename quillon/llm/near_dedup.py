@@ -10,10 +10,12 @@ every other. A pair's signatures are compared batch by batch: with a uniform
 prior, the posterior probability that the similarity reaches the threshold is
 known after each batch, and pairs for which it falls below MISS are dropped.
 The others are verified on their full shingle sets. Links are joined to
-components. Where members of a bucket are still in several components, further
-pivots are drawn, twice as many each round, and paired with the members of
-other components, until every pair of a bucket is either in one component or
-has been compared. So no link between different texts is lost to a cap.
+components. Then only pairs of a bucket that are in different components are
+open. Once they are no more than the rows of the bands' table, which grows with
+the documents alone, all of them are compared. Before that, further pivots are
+drawn, twice as many each round, and paired with the members of other
+components. So every pair of a bucket ends up in one component or compared, and
+no link between different texts is lost to a cap.
 
 Documents without words have an empty set and are linked with nothing. Rows
 without an id are linked with nothing and are their own. Rows of one id and one
@@ -39,6 +41,9 @@ from quillon.llm.components import connected_components
 BANDS, BAND, BATCH = 30, 5, 25
 #: A pair is dropped when it reaches the threshold with less than this probability.
 MISS = 1e-6
+#: All open pairs are compared at once when there are no more than so many for
+#: each row of the bands' table.
+OPEN_PER_ROW = 1
 CACHE_WORDS = 500_000
 PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -196,10 +201,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active = Table(members.join(shared, "bucket"), "buckets")
     pairs = active.df.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     active_df = active.df.where("rep <> a").select("bucket", "rep")
-    spent = [active]
+    most = OPEN_PER_ROW * BANDS * reps.df.count()
     edges: list[Table] = []
     components: Table | None = None
-    pivots = 1
+    pivots, last = 1, False
     while True:
         likely = Table(_likely(pairs, reps.df, percent), "likely-pairs")
         found, sets = _verified(likely.df, docs, reps.df, size, percent, id_col, text_col)
@@ -212,22 +217,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if components is not None:
             components.drop()
         components = connected_components(graph)
+        if last:
+            break
         label = components.df.toDF("rep", "component")
-        labelled = active_df.join(label, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        labelled = Table(labelled, "buckets")
-        mixed = labelled.df.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-        active = Table(labelled.df.join(mixed, "bucket"), "buckets")
+        labelled = Table(active_df.join(label, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "buckets")
+        shares = labelled.df.groupBy("bucket", "component").count().groupBy("bucket")
+        mixed = shares.agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"), F.max_by("component", "count").alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        mixed = Table(mixed.select("bucket", "top", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("open")), "mixed-buckets")
+        spent, active = active, Table(labelled.df.join(mixed.df.select("bucket", "top"), "bucket"), "buckets")
+        spent.drop()
         labelled.drop()
-        spent[-1].drop()
-        spent.append(active)
-        if active.df.isEmpty():
+        still_open = mixed.df.agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
+        mixed.drop()
+        if not still_open:
             break
-        part = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
-        drawn = Table(active.df.groupBy("bucket", part.alias("part")).agg(F.min_by(F.struct("rep", "component"), "rep").alias("p")).select("bucket", F.col("p.rep").alias("p"), F.col("p.component").alias("c")), "pivots")
-        met = active.df.join(drawn.df, "bucket").where("component <> c")
+        if still_open <= most:
+            # every pair of different components has one outside the bucket's largest
+            few = active.df.where("component <> top").select("bucket", F.col("rep").alias("p"), F.col("component").alias("c"))
+            last = True
+        else:
+            part = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
+            few = active.df.groupBy("bucket", part.alias("part")).agg(F.min_by(F.struct("rep", "component"), "rep").alias("x")).select("bucket", F.col("x.rep").alias("p"), F.col("x.component").alias("c"))
+            drawn = Table(few, "pivots")
+            few = drawn.df
+            active_df = active.df.join(few.select("bucket", F.col("p").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
+            pivots *= 2
+        met = active.df.join(few, "bucket").where("component <> c")
         pairs = met.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        active_df = active.df.join(drawn.df.select("bucket", F.col("p").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-        pivots *= 2
     label = components.df.toDF("rep", "component")
     named = classes.join(label, "rep", "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component"))
     out = signed.df.drop("sign").join(named, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")

@@ -5,17 +5,16 @@ its smallest id. Each representative has a signature of BANDS * BAND minima;
 those that agree on a whole band share a bucket. At a similarity of 0.8 all
 bands miss with a probability of (1 - 0.8**5)**30, below 1e-5.
 
-In each bucket a pivot is paired with the other members, not every member with
-every other. A pair's signatures are compared batch by batch: with a uniform
-prior, the posterior probability that the similarity reaches the threshold is
-known after each batch, and pairs for which it falls below MISS are dropped.
-The others are verified on their full shingle sets. Links are joined to
-components. Then only pairs of a bucket that are in different components are
-open. Once they are no more than the rows of the bands' table, which grows with
-the documents alone, all of them are compared. Before that, further pivots are
-drawn, twice as many each round, and paired with the members of other
-components. So every pair of a bucket ends up in one component or compared, and
-no link between different texts is lost to a cap.
+In each bucket the smallest id is paired with the other members, not every
+member with every other. A pair's signatures are compared batch by batch: with
+a uniform prior, the posterior probability that the similarity reaches the
+threshold is known after each batch, and pairs for which it falls below MISS
+are dropped. The others are verified on their full shingle sets. Links are
+joined to components. Only documents of buckets that still hold several
+components are unsettled. Pairs of those that are in different components and
+share one of their rarest shingles, as any pair that reaches the threshold has
+to, go through the same comparison and verification. So no link between
+different texts is lost to a cap.
 
 Documents without words have an empty set and are linked with nothing. Rows
 without an id are linked with nothing and are their own. Rows of one id and one
@@ -30,7 +29,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import text_slices
@@ -41,9 +40,6 @@ from quillon.llm.components import connected_components
 BANDS, BAND, BATCH = 30, 5, 25
 #: A pair is dropped when it reaches the threshold with less than this probability.
 MISS = 1e-6
-#: All open pairs are compared at once when there are no more than so many for
-#: each row of the bands' table.
-OPEN_PER_ROW = 1
 CACHE_WORDS = 500_000
 PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -158,9 +154,8 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, Table]:
-    """The pairs whose full sets are as similar as percent says, as (u, v)."""
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+def _sets(needed: DataFrame, docs: DataFrame, reps: DataFrame, size: int, id_col: str, text_col: str) -> Table:
+    """(id, s): the full sets of the representatives in needed (rep)."""
     keys = reps.select("rep", "key").join(needed, "rep")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).join(keys, (F.col("id") == F.col("rep")) & (F.col("t") == F.col("key"))).select("id", "text")
 
@@ -169,7 +164,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, per
             for first, part in text_slices(batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array([shingles_of(words_of(t), size).tobytes() for t in part], pa.binary())], ["id", "s"])
 
-    own = Table(texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), "shingle-sets")
+    return Table(texts.mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), "shingle-sets")
+
+
+def _open_pairs(unsettled: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can still reach the threshold:
+    with all shingles in one order, the rarer first, two sets that do share one
+    among the first n - ceil(percent * n / 100) + 1 of each, n being its size.
+
+    Shingles that only one document, or only documents of one component, have
+    so far forward give no pairs; of the others, one side of each pair is
+    outside the largest component.
+    """
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+            n = np.array([len(s) for s in own], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), n), pa.int64()), pa.array(np.repeat(n, n), pa.int64()), pa.array(np.concatenate([*own, np.zeros(0, np.int64)]))], ["rep", "n", "token"])
+
+    each = sets.mapInArrow(tokens, "rep long, n long, token long")
+    counted = each.join(each.groupBy("token").agg(F.count("*").alias("seen")), "token")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("seen", "token"))
+    front = counted.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("seen") > 1))
+    front = Table(front.select("rep", "n", "token").join(unsettled, "rep"), "prefixes")
+    shares = front.df.groupBy("token", "component").count().groupBy("token").agg(F.max_by("component", "count").alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", "top")
+    mixed = front.df.join(shares, "token")
+    few = mixed.where("component <> top").select("token", F.col("rep").alias("p"), F.col("n").alias("m"), F.col("component").alias("c"))
+    met = mixed.join(few, "token").where((F.col("component") != F.col("c")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    return met.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, id_col: str, text_col: str, own: Table | None = None) -> tuple[Table, Table]:
+    """The pairs whose full sets are as similar as percent says, as (u, v), and
+    the sets; own: the sets, where they are there already."""
+    likely = Table(_likely(pairs, reps, percent), "likely-pairs")
+    if own is None:
+        own = _sets(likely.df.select(F.col("a").alias("rep")).union(likely.df.select("b")).distinct(), docs, reps, size, id_col, text_col)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,8 +211,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, per
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(own.df.toDF("a", "s_a"), "a").join(own.df.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
-    return both.mapInArrow(compare, "u long, v long"), own
+    both = likely.df.join(own.df.toDF("a", "s_a"), "a").join(own.df.toDF("b", "s_b"), "b").select("a", "b", "s_a", "s_b")
+    links = Table(both.mapInArrow(compare, "u long, v long"), "links")
+    likely.drop()
+    return links, own
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -200,50 +233,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").drop("z")
     active = Table(members.join(shared, "bucket"), "buckets")
     pairs = active.df.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    active_df = active.df.where("rep <> a").select("bucket", "rep")
-    most = OPEN_PER_ROW * BANDS * reps.df.count()
-    edges: list[Table] = []
-    components: Table | None = None
-    pivots, last = 1, False
-    while True:
-        likely = Table(_likely(pairs, reps.df, percent), "likely-pairs")
-        found, sets = _verified(likely.df, docs, reps.df, size, percent, id_col, text_col)
-        edges.append(Table(found, "links"))
+    links, sets = _linked(pairs, docs, reps.df, size, percent, id_col, text_col)
+    sets.drop()
+    components = connected_components(links.df)
+    label = components.df.toDF("rep", "component")
+    labelled = Table(active.df.select("bucket", "rep").join(label, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "buckets")
+    mixed = labelled.df.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    unsettled = Table(labelled.df.join(mixed, "bucket").select("rep", "component").distinct(), "unsettled")
+    active.drop()
+    if not unsettled.df.isEmpty():
+        own = _sets(unsettled.df.select("rep"), docs, reps.df, size, id_col, text_col)
+        more, sets = _linked(_open_pairs(unsettled.df, own.df, percent), docs, reps.df, size, percent, id_col, text_col, own)
         sets.drop()
-        likely.drop()
-        graph = edges[0].df
-        for e in edges[1:]:
-            graph = graph.unionByName(e.df)
-        if components is not None:
+        if not more.df.isEmpty():
             components.drop()
-        components = connected_components(graph)
-        if last:
-            break
-        label = components.df.toDF("rep", "component")
-        labelled = Table(active_df.join(label, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "buckets")
-        shares = labelled.df.groupBy("bucket", "component").count().groupBy("bucket")
-        mixed = shares.agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"), F.max_by("component", "count").alias("top"), F.count("*").alias("parts")).where("parts > 1")
-        mixed = Table(mixed.select("bucket", "top", ((F.col("m") * F.col("m") - F.col("q")) / 2).alias("open")), "mixed-buckets")
-        spent, active = active, Table(labelled.df.join(mixed.df.select("bucket", "top"), "bucket"), "buckets")
-        spent.drop()
-        labelled.drop()
-        still_open = mixed.df.agg(F.coalesce(F.sum("open"), F.lit(0.0))).first()[0]
-        mixed.drop()
-        if not still_open:
-            break
-        if still_open <= most:
-            # every pair of different components has one outside the bucket's largest
-            few = active.df.where("component <> top").select("bucket", F.col("rep").alias("p"), F.col("component").alias("c"))
-            last = True
-        else:
-            part = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
-            few = active.df.groupBy("bucket", part.alias("part")).agg(F.min_by(F.struct("rep", "component"), "rep").alias("x")).select("bucket", F.col("x.rep").alias("p"), F.col("x.component").alias("c"))
-            drawn = Table(few, "pivots")
-            few = drawn.df
-            active_df = active.df.join(few.select("bucket", F.col("p").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
-            pivots *= 2
-        met = active.df.join(few, "bucket").where("component <> c")
-        pairs = met.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+            components = connected_components(links.df.unionByName(more.df))
     label = components.df.toDF("rep", "component")
     named = classes.join(label, "rep", "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component"))
     out = signed.df.drop("sign").join(named, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")

@@ -106,22 +106,18 @@ def near_docs():
     r = random.Random(7)
     vocabulary = [f"v{i}" for i in range(3000)]
     docs, n = [], 0
-    for _ in range(12):
+    for _ in range(14):
         base = [r.choice(vocabulary) for _ in range(120)]
-        for _ in range(r.choice([1, 2, 12])):
+        for _ in range(r.choice([1, 2, 25])):
             words = list(base)
-            for _ in range(r.choice([0, 1, 3, 5, 8])):
+            for _ in range(r.choice([0, 1, 2, 3, 4, 5, 8])):
                 words[r.randrange(len(words))] = r.choice(vocabulary)
             docs.append((n, " ".join(words)))
             n += 1
     return [*docs, (900, None), (901, ""), (902, " \t"), (903, "One two"), (904, "one  TWO"), (905, "one two three")]
 
 
-@pytest.mark.parametrize("most", [None, 0])
-def test_near_duplicates_as_brute_force(spark, monkeypatch, most):
-    """most 0: only growing rounds of pivots, never all open pairs at once."""
-    if most is not None:
-        monkeypatch.setattr(near_dedup, "OPEN_PER_ROW", 0)
+def test_near_duplicates_as_brute_force(spark):
     docs = near_docs()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=4).collect()}
     assert got == near_dedup.brute_force(docs, 4)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import text_slices
+from quillon.llm.bpe import WordBpe, text_slices
 from quillon.llm.common import Table
 
 BLOCK = 1024
@@ -38,7 +39,7 @@ FILE_IDS = 1_000_000
 #: The share of a block's differences that its width must hold.
 PERCENTILE = 0.9
 #: Chunks between white space that a worker keeps encoded.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
@@ -163,14 +164,18 @@ class TokenFile:
 
 
 class ChunkEncoder:
-    """The tokenizers library behind a cache of chunks between white space.
-
-    The file's pre-tokenizer drops white space and looks at nothing beyond it,
-    so chunks can be encoded one by one. Texts with control letters that
-    Python, but not the library, takes for white space go to it whole.
+    """The tokenizers library behind a cache of what stands between white space.
+
+    The file's normalizer lower-cases and its pre-tokenizer drops white space
+    and looks at nothing beyond it, so lower-cased chunks can be encoded one by
+    one; chunks that are not a word are put together from their words. Words
+    that are not cached go to the library as one text: the ids that end a word
+    tell where each one's end. Texts with control letters that Python, but not
+    the library, takes for white space, or with what may be a special token, go
+    to it whole.
     """
 
-    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+    ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
     def __init__(self, content: str):
         from tokenizers import Tokenizer
@@ -178,22 +183,48 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.rules = WordBpe(content)
+        vocab = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith(self.rules.suffix)]] = True
         self.cache: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        cache = self.cache
+        parts = {c: self.rules.words(c) for c in chunks if not (c.isascii() and c.isalpha())}
+        words = chunks.difference(parts)
+        words.update(w for p in parts.values() for w in p)
+        words = [w for w in words if w not in cache]
+        for k in range(0, len(words), 20_000):
+            own = words[k : k + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            ends = np.nonzero(self.ends_word[ids])[0] + 1
+            if len(ends) == len(own):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(own, (4 * ends).tolist(), strict=True):
+                    cache[w] = raw[at:end]
+                    at = end
+            else:  # a word that the library cuts further
+                cache.update(zip(own, self._library(own), strict=True))
+        for c, p in parts.items():
+            cache[c] = b"".join([cache[w] for w in p])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        missing = list(set().union(*(c for c in cut if c)).difference(self.cache))
-        for k in range(0, len(missing), 50_000):
-            part = missing[k : k + 50_000]
-            self.cache.update(zip(part, self._library(part), strict=True))
-        get = self.cache.__getitem__
-        for t, chunks in zip(texts, cut, strict=True):
-            yield self._library([t])[0] if chunks is None else b"".join(map(get, chunks))
+        cut = [None if any(c in t for c in self.ODD) else t.replace("Σ", "σ").lower().split() for t in texts]
+        got = [None if c is None else list(map(self.cache.get, c)) for c in cut]
+        missing = {c for chunks, ids in zip(cut, got, strict=True) if chunks and None in ids for c, x in zip(chunks, ids, strict=True) if x is None}
+        if missing:
+            self._learn(missing)
+        for t, chunks, ids in zip(texts, cut, got, strict=True):
+            if chunks is None:
+                yield self._library([t])[0]
+            else:
+                yield b"".join([self.cache[c] if x is None else x for c, x in zip(chunks, ids, strict=True)] if None in ids else ids)
 
 
 _held: dict[int, ChunkEncoder] = {}

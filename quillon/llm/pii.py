@@ -9,10 +9,11 @@ information over e's information content,
 
     log2(p(e|t) / p(e)) / -log2 p(e),
 
-which is 1 where t never occurs without e and 0 where it tells nothing. Terms
-that meet an entity in LEAST_TEXTS different texts and disclose GENERALISE or
-more of it become a span near it; from REMOVE on they are removed, below they
-are generalised.
+which is 1 where t never occurs without e and 0 where it tells nothing. Both
+are smoothed: p(e|t) by PRIOR occurrences that follow p(e), so few occurrences
+weigh less, but an entity of a single text has its terms too. Terms that
+disclose GENERALISE or more of an entity become a span near it; from REMOVE on
+they are removed, below they are generalised.
 
 Documents are read twice, once for the patterns and once to count terms; only
 spans, terms and counts are shuffled. Null texts are empty; spans count code
@@ -31,7 +32,8 @@ from quillon.llm.common import Table, written
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity, and the code points they are sought in.
 NEAR, REACH = 8, 120
-LEAST_TEXTS = 2
+#: Occurrences by which p(e|t) is drawn to p(e).
+PRIOR = 0.25
 GENERALISE, REMOVE = 0.9, 0.97
 #: Terms that are broadcast at most; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
@@ -142,13 +144,19 @@ def _terms(spans: DataFrame) -> DataFrame:
     return near.where((F.length("term") >= 3) & free).drop("base")
 
 
+def disclosure(n_te: Column, n_t: Column, n_e: Column, n_texts: int) -> Column:
+    """How far t gives e away, from the smoothed p(e) and p(e|t)."""
+    p_e = F.least((n_e + 0.5) / F.lit(n_texts + 1), F.lit(0.5))
+    p_et = (F.least(n_te, n_t) + PRIOR * p_e) / (n_t + PRIOR)
+    return F.log2(p_et / p_e) / -F.log2(p_e)
+
+
 def disclosing(terms: DataFrame, spans: DataFrame, texts: DataFrame, n_texts: int) -> DataFrame:
-    """(term, entity, disclosure) of the pairs at or above GENERALISE.
+    """(term, entity, disclosure, support) of the pairs at or above GENERALISE.
 
     texts: one column, text. Occurrences are counted over all of it.
     """
-    # the smallest and largest hash of a text differ: two different texts
-    met = terms.groupBy("term", "entity").agg(F.count("*").alias("n_te"), F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("term", "entity", "n_te")
+    met = terms.groupBy("term", "entity").agg(F.count("*").alias("n_te"))
     met = written(met, "disclosure-pairs")
     wanted = met.select("term").distinct()
     n = wanted.count()
@@ -159,10 +167,8 @@ def disclosing(terms: DataFrame, spans: DataFrame, texts: DataFrame, n_texts: in
         counts = words.groupBy("term").agg(F.count("*").alias("c_t")).join(wanted, "term", "left_semi")
     entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value"))
     held = spans.select("id", "key", F.explode("spans").alias("s")).select("id", "key", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    p_e = F.least(F.col("n_e") / F.lit(max(n_texts, 2)), F.lit(0.5))
-    p_et = F.least(F.col("n_te") / F.col("c_t"), F.lit(1.0))
-    strength = F.log2(p_et / p_e) / -F.log2(p_e)
-    return met.join(counts, "term").join(held, "entity").select("term", "entity", strength.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    strength = disclosure(F.col("n_te"), F.col("c_t"), F.col("n_e"), n_texts)
+    return met.join(counts, "term").join(held, "entity").select("term", "entity", strength.alias("disclosure"), F.col("n_te").alias("support")).where(F.col("disclosure") >= GENERALISE)
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

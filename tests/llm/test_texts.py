@@ -51,6 +51,12 @@ def test_disclosing_terms(spark, odd_docs, no_docs):
     assert odd.columns == odd_docs.columns and odd.count() == odd_docs.count() and pii.pii_spans(no_docs).count() == 0
 
 
+def test_entity_of_one_text_is_disclosed(spark):
+    rows = [(0, "wrote to smithson at j.smith@corp.example and others")] + [(i, f"wrote to nobody at all and others note{i}") for i in range(1, 80)]
+    got = {r["doc_id"]: [(rows[r["doc_id"]][1][s["start"] : s["end"]], s["action"]) for s in r["spans"] if s["kind"] == 4] for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(0) == [("smithson", "generalise")] and not any(got.values())
+
+
 def test_rules(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.com/en/x", "http://www.example.com/en/x?y#z", "http://a.example.com/fr", "http://com", "http://b.net/es/", "http://bnet/es/", "https://x.org/é", "http://c.com?x=/a", "ftp://u://v.com/a"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("host", F.lit(1))

@@ -2,22 +2,26 @@
 
 DataFrame operations only. Four patterns find the base spans. Then the corpus
 tells which words give a found value (an entity) away although they are not
-personal data themselves: with p(e) the share of documents' texts that hold
-entity e and p(e|t) the share of the corpus's occurrences of term t that stand
-within NEAR words of e, the disclosure of e by t is the pointwise mutual
-information over e's information content,
+personal data themselves: with p(e) the share of documents that hold entity e
+and p(e|t) the share of the documents with term t that hold e, the disclosure
+of e by t is the pointwise mutual information over e's information content,
 
     log2(p(e|t) / p(e)) / -log2 p(e),
 
 which is 1 where t never occurs without e and 0 where it tells nothing. Both
-are smoothed: p(e|t) by PRIOR occurrences that follow p(e), so few occurrences
+are smoothed: p(e|t) by PRIOR documents that follow p(e), so few documents
 weigh less, but an entity of a single text has its terms too. Terms that
-disclose GENERALISE or more of an entity become a span near it; from REMOVE on
-they are removed, below they are generalised.
-
-Documents are read twice, once for the patterns and once to count terms; only
-spans, terms and counts are shuffled. Null texts are empty; spans count code
-points, ends exclusive. Rows of one id and one text get the same spans.
+disclose GENERALISE or more of an entity become spans wherever they stand in
+the documents that hold it; from REMOVE on they are removed, below they are
+generalised. A word inside a base span is no occurrence of a term.
+
+Entities that the same documents hold have the same disclosures and count as
+one group. Of a document's words and groups only pairs are formed that could
+reach GENERALISE if they met as often as their own counts allow; the bound is
+exact, so no pair is lost. Documents are read twice, once for the patterns and
+once to count terms; only what documents with base spans hold, and counts, are
+shuffled. Null texts are empty; spans count code points, ends exclusive. Rows
+of one id and one text get the same spans.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity, and the code points they are sought in.
-NEAR, REACH = 8, 120
-#: Occurrences by which p(e|t) is drawn to p(e).
+#: Shortest term, in letters.
+SHORTEST = 3
+#: Documents by which p(e|t) is drawn to p(e).
 PRIOR = 0.25
 GENERALISE, REMOVE = 0.9, 0.97
 #: Terms that are broadcast at most; more are joined by a shuffle.
@@ -92,19 +96,17 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "struct<kind:int,start:int,end:int,value:string,left:string,right:string>"
+SPAN = "struct<kind:int,start:int,end:int,value:string>"
 
 
 def _found(text: Column, kind: str, pattern: str, gate: Column) -> Column:
-    """Valid matches of a pattern with what stands just before and behind."""
+    """Valid matches of a pattern."""
     def of(cut: Column) -> Column:
         pieces, matches = cut["pieces"], cut["matches"]
         gaps = F.transform(F.slice(pieces, F.lit(1), F.size(matches)), F.length)
         starts = _starts(gaps, F.transform(matches, F.length))
-        left = lambda i: F.right(F.get(pieces, i), F.lit(REACH))
-        right = lambda i: F.left(F.get(pieces, i + 1), F.lit(REACH))
         both = F.zip_with(starts, matches, lambda a, v: F.struct(a.alias("start"), v.alias("value")))
-        spans = F.transform(both, lambda m, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value"), left(i).alias("left"), right(i).alias("right")))
+        spans = F.transform(both, lambda m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), m["value"].alias("value")))
         return F.filter(spans, lambda s: _valid(kind, s["value"])).cast(f"array<{SPAN}>")
 
     cut = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("matches"))
@@ -125,50 +127,62 @@ def _all_kinds(text: Column) -> Column:
     )
 
 
-def _terms(spans: DataFrame) -> DataFrame:
-    """(id, key, entity, term, start, end): words near the entities, outside
-    all base spans. A word that the reach cuts is left out."""
-    at = spans.select("id", "key", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("base"), F.explode("spans").alias("s"))
-    entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value"))
-    cut = lambda side, edge: F.when(F.length(side) == REACH, F.regexp_replace(side, edge, "")).otherwise(side)
-    left, right = cut(F.col("s.left"), r"\A\p{L}+"), cut(F.col("s.right"), r"\p{L}+\z")
-    sides = F.array(F.struct(left.alias("text"), (F.col("s.start") - F.length(left)).alias("at"), F.lit(True).alias("before")), F.struct(right.alias("text"), F.col("s.end").alias("at"), F.lit(False).alias("before")))
-    near = at.select("id", "key", "base", entity.alias("entity"), F.explode(sides).alias("c"))
+def _words(held: DataFrame) -> DataFrame:
+    """(row, term, places): the words of documents with base spans and where
+    they stand outside of all base spans; no places: only inside."""
     word = r"\p{L}+"
-    near = near.select("id", "key", "base", "entity", F.col("c.at").alias("at"), F.col("c.before").alias("before"), F.split("c.text", word, -1).alias("gaps"), F.regexp_extract_all("c.text", F.lit(word), 0).alias("words")).where(F.size("words") > 0)
-    starts = _starts(F.transform(F.slice("gaps", 1, F.size("words")), F.length), F.transform("words", F.length))
-    found = F.zip_with(starts, "words", lambda a, w: F.struct(a.alias("start"), w.alias("word")))
-    near = near.withColumn("found", found).select("id", "key", "base", "entity", "at", F.explode(F.when(F.col("before"), F.slice("found", F.greatest(F.size("found") - NEAR + 1, F.lit(1)), F.lit(NEAR))).otherwise(F.slice("found", F.lit(1), F.lit(NEAR)))).alias("w"))
-    near = near.select("id", "key", "base", "entity", F.lower("w.word").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.start") + F.length("w.word")).alias("end"))
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return near.where((F.length("term") >= 3) & free).drop("base")
+    cut = held.select("row", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("base"), F.split("text", word, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(word), 0).alias("words"))
+    starts = _starts(F.transform(F.slice("gaps", F.lit(1), F.size("words")), F.length), F.transform("words", F.length))
+    each = cut.select("row", "base", F.explode(F.zip_with(starts, "words", lambda a, w: F.struct(a.alias("start"), w.alias("word")))).alias("w"))
+    each = each.select("row", "base", F.lower("w.word").alias("term"), F.struct(F.col("w.start").alias("start"), (F.col("w.start") + F.length("w.word")).alias("end")).alias("place")).where(F.length("term") >= SHORTEST)
+    free = ~F.exists("base", lambda b: (b["start"] < F.col("place.end")) & (b["end"] > F.col("place.start")))
+    return each.select("row", "term", F.when(free, F.col("place")).alias("place")).groupBy("row", "term").agg(F.collect_list("place").alias("places"))
+
+
+def _groups(held: DataFrame) -> DataFrame:
+    """(row, group, n_e): the entities of each document, those of the same
+    documents as one group, known by the number and the sums of hashes of its
+    documents; n_e is that number."""
+    entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value"))
+    each = held.select("row", F.explode("spans").alias("s")).select("row", entity.alias("entity")).distinct()
+    total = lambda salt: F.sum(F.xxhash64("row", F.lit(salt)).cast("decimal(38,0)")).cast("string")
+    named = each.groupBy("entity").agg(F.count("*").alias("n_e"), total(1).alias("x"), total(2).alias("y"))
+    named = named.select("entity", "n_e", F.concat_ws(":", F.col("n_e").cast("string"), "x", "y").alias("group"))
+    return each.join(named, "entity").select("row", "group", "n_e").distinct()
 
 
-def disclosure(n_te: Column, n_t: Column, n_e: Column, n_texts: int) -> Column:
+def disclosure(n_te: Column, n_t: Column, n_e: Column, n_docs: int) -> Column:
     """How far t gives e away, from the smoothed p(e) and p(e|t)."""
-    p_e = F.least((n_e + 0.5) / F.lit(n_texts + 1), F.lit(0.5))
+    p_e = F.least((n_e + 0.5) / F.lit(n_docs + 1), F.lit(0.5))
     p_et = (F.least(n_te, n_t) + PRIOR * p_e) / (n_t + PRIOR)
     return F.log2(p_et / p_e) / -F.log2(p_e)
 
 
-def disclosing(terms: DataFrame, spans: DataFrame, texts: DataFrame, n_texts: int) -> DataFrame:
-    """(term, entity, disclosure, support) of the pairs at or above GENERALISE.
-
-    texts: one column, text. Occurrences are counted over all of it.
-    """
-    met = terms.groupBy("term", "entity").agg(F.count("*").alias("n_te"))
-    met = written(met, "disclosure-pairs")
-    wanted = met.select("term").distinct()
-    n = wanted.count()
-    words = texts.select(F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("term"))
-    if n <= BROADCAST_TERMS:
-        counts = words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("c_t"))
-    else:
-        counts = words.groupBy("term").agg(F.count("*").alias("c_t")).join(wanted, "term", "left_semi")
-    entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value"))
-    held = spans.select("id", "key", F.explode("spans").alias("s")).select("id", "key", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    strength = disclosure(F.col("n_te"), F.col("c_t"), F.col("n_e"), n_texts)
-    return met.join(counts, "term").join(held, "entity").select("term", "entity", strength.alias("disclosure"), F.col("n_te").alias("support")).where(F.col("disclosure") >= GENERALISE)
+def term_counts(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """(term, n_t): how many documents hold each of the terms in words outside
+    of base spans. texts: one column, text, of all documents."""
+    wanted = words.groupBy("term").agg(F.count(F.when(F.size("places") == 0, 1)).alias("inside"))
+    wanted = written(wanted, "wanted-terms")
+    every = texts.select(F.explode(F.array_distinct(F.transform(F.split("text", r"\P{L}+"), F.lower))).alias("term")).where(F.length("term") >= SHORTEST)
+    if wanted.count() <= BROADCAST_TERMS:
+        every = every.join(F.broadcast(wanted.select("term")), "term", "left_semi")
+    counts = every.groupBy("term").agg(F.count("*").alias("n"))
+    return counts.join(wanted, "term").select("term", (F.col("n") - F.col("inside")).alias("n_t")).where("n_t > 0")
+
+
+def disclosing(words: DataFrame, groups: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
+    """(row, term, disclosure, support) of each document's terms that disclose
+    GENERALISE or more of one of its entities; disclosure is the largest of
+    them, support the number of documents it rests on."""
+    most = groups.agg(F.max("n_e")).first()[0] or 0
+    could = lambda n_e: disclosure(F.least("n_t", n_e), F.col("n_t"), n_e, n_docs) >= GENERALISE
+    # a term fits a group only if it fits one that as many documents hold as any
+    rare = words.where(F.size("places") > 0).select("row", "term").join(counts.where(could(F.lit(most))), "term")
+    pairs = written(written(rare, "rare-terms").join(groups, "row").where(could(F.col("n_e"))), "disclosure-pairs")
+    met = pairs.groupBy("term", "group").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    strong = met.select("term", "group", disclosure(F.col("n_te"), F.col("n_t"), F.col("n_e"), n_docs).alias("d"), F.col("n_te").alias("support")).where(F.col("d") >= GENERALISE)
+    best = F.max(F.struct("d", "support"))
+    return pairs.select("row", "term", "group").join(strong, ["term", "group"]).groupBy("row", "term").agg(best.alias("b")).select("row", "term", F.col("b.d").alias("disclosure"), F.col("b.support").alias("support"))
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,16 +190,18 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     and spans, an array of (kind, start, end, action) by kind as listed and
     then start. action: mask for base spans; generalise or remove for terms.
     """
-    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), base_spans(F.col(text_col)).alias("spans"))
-    table = Table(found, "base-spans")
-    spans = table.df.where(F.size("spans") > 0)
-    terms = Table(_terms(spans), "near-terms")
-    strong = written(disclosing(terms.df, spans, docs.select(F.coalesce(text_col, F.lit("")).alias("text")), table.df.count()), "disclosing")
-    hit = terms.df.join(strong, ["term", "entity"]).groupBy("id", "key", "start", "end").agg(F.max("disclosure").alias("d"))
-    action = F.when(F.col("d") >= REMOVE, "remove").otherwise("generalise")
-    per_doc = hit.groupBy(F.col("id").alias("t_id"), F.col("key").alias("t_key")).agg(F.array_sort(F.collect_set(F.struct(F.lit(KINDS.index("term")).alias("kind"), "start", "end", action.alias("action")))).alias("terms"))
+    found = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), base_spans(F.col(text_col)).alias("spans"), F.coalesce(text_col, F.lit("")).alias("text"))
+    table = Table(found.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "base-spans")
+    held = table.df.where(F.size("spans") > 0)
+    words = written(_words(held), "words")
+    groups = written(_groups(held), "entity-groups")
+    counts = written(term_counts(words, docs.select(F.coalesce(text_col, F.lit("")).alias("text"))), "term-counts")
+    strong = written(disclosing(words, groups, counts, table.df.count()), "disclosing")
+    action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
+    hit = words.join(strong, ["row", "term"]).select(F.col("row").alias("t_row"), action.alias("action"), F.explode("places").alias("p"))
+    per_doc = hit.groupBy("t_row").agg(F.array_sort(F.collect_list(F.struct(F.lit(KINDS.index("term")).alias("kind"), F.col("p.start").alias("start"), F.col("p.end").alias("end"), "action"))).alias("terms"))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit("mask").alias("action")))
-    out = table.df.select("id", "key", base.alias("base")).join(per_doc, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("key") == F.col("t_key")), "left")
+    out = table.df.select("row", "id", "key", base.alias("base")).join(per_doc, F.col("row") == F.col("t_row"), "left")
     every = F.concat("base", F.coalesce("terms", F.array().cast("array<struct<kind:int,start:int,end:int,action:string>>")))
     return out.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), every.alias("spans"))
 

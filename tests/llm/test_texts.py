@@ -57,6 +57,16 @@ def test_entity_of_one_text_is_disclosed(spark):
     assert got.pop(0) == [("smithson", "generalise")] and not any(got.values())
 
 
+def test_terms_far_from_their_entity(spark):
+    far = "and others wrote nothing at all " * 40
+    rows = [(i, f"smithson {far} j.smith@corp.example {far} Smithson {far} kept{'' if i else ' smith'}") for i in range(3)]
+    rows += [(10 + i, f"{far} kept note") for i in range(80)]
+    got = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == 4] for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    found = {d: [text[d][s["start"] : s["end"]] for s in v] for d, v in got.items() if v}
+    assert found == {0: ["smithson", "Smithson", "smith"], 1: ["smithson", "Smithson"], 2: ["smithson", "Smithson"]}
+
+
 def test_rules(spark):
     urls = [None, "", "no scheme", "http://EXAMPLE.com/en/x", "http://www.example.com/en/x?y#z", "http://a.example.com/fr", "http://com", "http://b.net/es/", "http://bnet/es/", "https://x.org/é", "http://c.com?x=/a", "ftp://u://v.com/a"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("host", F.lit(1))

@@ -6,8 +6,12 @@ each order's estimate is smoothed by that of the next shorter one. Urls that no
 rule fits are judged by the difference of the two log-likelihoods divided by
 the length, turned into a probability that held-back ruled urls calibrate.
 
-The counts cover every ruled url. They are kept in hashed slots, so a model
-has a fixed size however many urls there are.
+The counts cover every ruled url. They are exact and a distributed table, a row
+for each context, and each context with a byte: at most ORDER + 1 bytes, which
+with their number fit a whole number of 64 bits. Urls are judged in chunks; a
+chunk's distinct grams are joined with the table and come back to its urls.
+UrlModel is the same mixture over counts in hashed slots, in memory, for tables
+that are small; no query uses it.
 
 Null urls and urls without ``://`` have an empty host and path and nothing to
 judge: they are blocked. Where rules allow or block nothing at all, there is
@@ -24,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ascii_lower
+from quillon.llm.common import ascii_lower, written
 
 #: Longest context in bytes, slots for each table of counts (a power of two)
 #: and the weight of the shorter context's estimate.
 ORDER, SLOT_BITS, WEIGHT = 5, 18, 3.0
 SLOTS = 1 << SLOT_BITS
+#: Urls that are judged, or counted before the first shuffle, together.
+CHUNK = 2000
 #: One ruled url in so many calibrates and is not counted.
 CALIBRATE = 5
 #: Bins of the calibrating histogram, over ratios of -RANGE to RANGE.
@@ -66,17 +72,38 @@ def match_rules(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colu
     return pick(lambda r: r.text), pick(lambda r: r.verdict)
 
 
-def _slots(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every byte of every url, its end mark included, and every order:
-    the slots of the context and of the context with the byte. Last: the
-    number of bytes of each url, mark included."""
+def _bytes(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, ORDER start marks before each url and an end mark behind;
+    the places that are judged; the number of those of each url."""
     raw = [u.encode("utf-8", "surrogatepass") for u in urls]
     sizes = np.array([len(r) + 1 for r in raw], np.int64)
     data = np.frombuffer(b"".join(b"\x02" * ORDER + r + b"\x03" for r in raw), np.uint8).astype(np.uint64)
     keep = np.ones(len(data), bool)
     starts = np.cumsum(sizes + ORDER) - sizes - ORDER
     keep[(starts[:, None] + np.arange(ORDER)).ravel()] = False
-    here = np.nonzero(keep)[0]
+    return data, np.nonzero(keep)[0], sizes
+
+
+def grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like _slots, but exact: the context's bytes, and the context's bytes
+    and the byte, as whole numbers, with the order and which of both above."""
+    data, here, sizes = _bytes(urls)
+    data = data.astype(np.int64)
+    context, with_byte = np.empty((ORDER + 1, len(here)), np.int64), np.empty((ORDER + 1, len(here)), np.int64)
+    packed = np.zeros(len(here), np.int64)
+    for k in range(ORDER + 1):
+        if k:
+            packed = packed | data[here - k] << 8 * (k - 1)
+        context[k] = packed | k << 48
+        with_byte[k] = packed << 8 | data[here] | (k + ORDER + 1) << 48
+    return context, with_byte, sizes
+
+
+def _slots(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every byte of every url, its end mark included, and every order:
+    the slots of the context and of the context with the byte. Last: the
+    number of bytes of each url, mark included."""
+    data, here, sizes = _bytes(urls)
     last = data[here]
     context, with_byte = np.empty((ORDER + 1, len(here)), np.int64), np.empty((ORDER + 1, len(here)), np.int64)
     h = np.zeros(len(here), np.uint64)
@@ -91,15 +118,24 @@ def _slots(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context, with_byte, sizes
 
 
+def _ratio(seen: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray) -> np.ndarray:
+    """The ratio of each url. seen: by class (0 accepted, 1 rejected) how often
+    the contexts, and the contexts with the byte, occur, by order and place."""
+    logs = []
+    for context, with_byte in seen:
+        p = np.full(context.shape[1], 1 / 256)
+        for k in range(ORDER + 1):
+            p = (np.minimum(with_byte[k], context[k]) + WEIGHT * p) / (context[k] + WEIGHT)
+        logs.append(np.log(p))
+    return np.add.reduceat(logs[0] - logs[1], np.cumsum(sizes) - sizes) / sizes
+
+
 @dataclass
 class UrlModel:
     """counts: by class (0 accepted, 1 rejected), table (0 contexts, 1 contexts
-    with a byte) and slot. slope, level: of the calibrated log-odds."""
+    with a byte) and slot."""
 
     counts: np.ndarray
-    slope: float = 1.0
-    level: float = 0.0
-    usable: bool = True
 
     def ratio(self, urls: list[str]) -> np.ndarray:
         """Log-likelihood under the accepted model less that under the
@@ -107,16 +143,7 @@ class UrlModel:
         if not urls:
             return np.zeros(0)
         context, with_byte, sizes = _slots(urls)
-        logs = []
-        for counts in self.counts:
-            p = np.full(context.shape[1], 1 / 256)
-            for k in range(ORDER + 1):
-                p = (np.minimum(counts[1][with_byte[k]], counts[0][context[k]]) + WEIGHT * p) / (counts[0][context[k]] + WEIGHT)
-            logs.append(np.log(p))
-        return np.add.reduceat(logs[0] - logs[1], np.cumsum(sizes) - sizes) / sizes
-
-    def p_allow(self, ratios: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * ratios + self.level, -50, 50)))
+        return _ratio([(c[0][context], c[1][with_byte]) for c in self.counts], sizes)
 
 
 def _platt(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
@@ -139,44 +166,57 @@ def _platt(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
-def fit_url_model(ruled: DataFrame) -> UrlModel:
-    """ruled: rest (the url's text behind ``://``), blocked (whether a rule
-    blocks it). All rows count."""
-    counted = F.crc32(F.col("rest").cast("binary")) % CALIBRATE != 0
+def gram_counts(ruled: DataFrame) -> DataFrame:
+    """(gram, n0, n1): how often each gram occurs in accepted and in rejected
+    urls. ruled: rest (the url's text behind ``://``), blocked."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, 2, SLOTS), np.int64)
         for batch in batches:
-            blocked = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            urls = np.array(batch.column(0).to_pylist(), object)
-            for c in (0, 1):
-                own = urls[blocked == c].tolist()
-                if own:
-                    for table, slots in enumerate(_slots(own)[:2]):
-                        sums[c, table] += np.bincount(slots.ravel(), minlength=SLOTS)
-        flat = sums.ravel()
-        used = np.nonzero(flat)[0]
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(used), "n": pa.array(flat[used])})
-
-    counts = np.zeros(4 * SLOTS, np.int64)
-    got = ruled.where(counted).select("rest", "blocked").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # 4 * SLOTS rows at most
-    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
-    model = UrlModel(counts.reshape(2, 2, SLOTS))
-    held = ruled.sparkSession.sparkContext.broadcast(model)
-
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                context, with_byte, sizes = grams(part.column(0).to_pylist())
+                blocked = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes)
+                keys, place = np.unique(np.vstack([context, with_byte]).ravel(), return_inverse=True)
+                bad = np.bincount(place, np.tile(blocked, 2 * (ORDER + 1)), len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(keys), "n0": pa.array(np.bincount(place, minlength=len(keys)) - bad), "n1": pa.array(bad)})
+
+    return ruled.select("rest", "blocked").mapInArrow(count, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def ratios(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """(at, ratio): log-likelihood under the accepted model less that under the
+    rejected one, per byte; positive: more like the accepted urls. urls: at (a
+    number of its own for each row), rest; counts: of gram_counts."""
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.clip((held.value.ratio(batch.column(0).to_pylist()) + RANGE) / (2 * RANGE) * BINS, 0, BINS - 1).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"blocked": batch.column(1), "bin": pa.array(at)})
+            for first in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(first, CHUNK)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, part.column(0)[0].as_py(), np.int64)), *part.columns], ["chunk", "at", "rest"])
 
-    histogram = np.zeros((2, BINS))
-    for r in ruled.where(~counted).select("rest", "blocked").mapInArrow(bins, "blocked boolean, bin long").groupBy("blocked", "bin").count().collect():  # 2 * BINS rows at most
-        histogram[int(r[0]), r[1]] = r[2]
-    if counts.reshape(4, SLOTS).sum(1).min() and histogram.sum(1).min():
-        model.slope, model.level = _platt(*histogram)
-    else:
-        model.usable = False
-    return model
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = np.asarray(batch.column(0))
+            for c in np.unique(chunks):
+                keys = np.unique(np.vstack(grams(batch.filter(pa.array(chunks == c)).column(1).to_pylist())[:2]))
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(keys), c)), "gram": pa.array(keys)})
+
+    def judge(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
+        context, with_byte, sizes = grams(own.column("rest").to_pylist())
+        # a chunk that several batches cut asks for some grams more than once
+        keys, first = np.unique(found.column("gram").to_numpy(), return_index=True)
+        keys = np.append(keys, np.iinfo(np.int64).max)
+        places = [np.searchsorted(keys, x) for x in (context, with_byte)]
+        seen = []
+        for n in ("n0", "n1"):
+            counted = np.append(found.column(n).to_numpy()[first], 0)
+            seen.append(tuple(np.where(keys[p] == x, counted[p], 0) for p, x in zip(places, (context, with_byte), strict=True)))
+        return pa.table({"at": own.column("at"), "ratio": pa.array(_ratio(seen, sizes))})
+
+    chunks = written(urls.select("at", "rest").mapInArrow(chunk, "chunk long, at long, rest string"), "url-chunks")
+    asked = chunks.select("chunk", "rest").mapInArrow(needed, "chunk long, gram long")
+    found = written(asked.join(counts, "gram").select("chunk", "gram", "n0", "n1"), "url-grams")
+    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(judge, "at long, ratio double")
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", keep: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -185,27 +225,28 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", k
     host, path, rest = host_and_path(F.col(url_col))
     parts = pages.select(*keep, host.alias("host"), path.alias("path"), rest.alias("rest"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
-    ruled = parts.select(*keep, "host", "path", rule.alias("rule"), verdict.alias("verdict"), "rest")
-    model = fit_url_model(ruled.where(F.col("rule").isNotNull()).select("rest", (F.col("verdict") == "block").alias("blocked")))
-    held = pages.sparkSession.sparkContext.broadcast(model)
-    n = len(keep)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            verdicts, rests = batch.column(n + 3).to_pylist(), batch.column(n + 4).to_pylist()
-            ratio, p = np.full(len(rests), np.nan), np.full(len(rests), np.nan)
-            open_ = np.array([v is None for v in verdicts], bool)
-            if not held.value.usable:
-                p[open_] = 1.0
-            elif open_.any():
-                ratio[open_] = held.value.ratio([r for r, v in zip(rests, verdicts, strict=True) if v is None])
-                p[open_] = held.value.p_allow(ratio[open_])
-            given = [v or ("allow" if r and q >= 0.5 else "block") for v, r, q in zip(verdicts, rests, p.tolist(), strict=True)]
-            columns = [*batch.columns[: n + 3], pa.array(given, pa.string()), pa.array(ratio, from_pandas=True), pa.array(p, from_pandas=True)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[: n + 4], "ratio", "p_allow"])
-
-    kinds = ", ".join(f"`{c}` {ruled.schema[c].dataType.simpleString()}" for c in keep)
-    return ruled.mapInArrow(judge, f"{kinds}, host string, path string, rule string, verdict string, ratio double, p_allow double")
+    every = written(parts.select(*keep, "host", "path", rule.alias("rule"), verdict.alias("_given"), F.col("rest").alias("_rest"), F.monotonically_increasing_id().alias("_at")), "urls")
+    text = every.select(F.col("_at").alias("at"), F.col("_rest").alias("rest"), (F.col("_given") == "block").alias("blocked"), F.col("rule").isNull().alias("open"), (F.crc32(F.col("_rest").cast("binary")) % CALIBRATE == 0).alias("held"))
+    counted = text.where("not open and not held")
+    usable = counted.select("blocked").distinct().count() == 2  # 2 rows at most
+    histogram = np.zeros((2, BINS))
+    if usable:
+        counts = written(gram_counts(counted), "url-counts")
+        judged = written(ratios(text.where("open or held"), counts), "url-ratios")
+        bins = F.least(F.greatest(F.floor((F.col("ratio") + RANGE) / (2 * RANGE) * BINS), F.lit(0)), F.lit(BINS - 1))
+        for r in text.where("not open and held").join(judged, "at").groupBy("blocked", bins.alias("bin")).count().collect():  # 2 * BINS rows at most
+            histogram[int(r[0]), r[1]] = r[2]
+        usable = bool(histogram.sum(1).min())
+    if usable:
+        slope, level = _platt(*histogram)
+        every = every.join(judged, F.col("_at") == F.col("at"), "left").drop("at")
+        p = 1 / (1 + F.exp(-F.greatest(F.least(slope * F.col("ratio") + level, F.lit(50.0)), F.lit(-50.0))))
+    else:
+        every, p = every.withColumn("ratio", F.lit(None).cast("double")), F.lit(1.0)
+    open_ = F.col("rule").isNull()
+    every = every.withColumn("ratio", F.when(open_, F.col("ratio"))).withColumn("p_allow", F.when(open_, p))
+    given = F.coalesce("_given", F.when((F.col("_rest") != "") & (F.col("p_allow") >= 0.5), "allow").otherwise("block"))
+    return every.select(*keep, "host", "path", "rule", given.alias("verdict"), "ratio", "p_allow")
 
 
 RULES = (

@@ -1,4 +1,5 @@
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -95,6 +96,36 @@ def test_url_ratio_as_by_hand():
     assert ratio[0] > 0 > ratio[1] and len(ratio) == 3
 
 
+def test_url_counts_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "CHUNK", 7)
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789/-."), 90)) for _ in range(1200)]
+    urls = [(i, f"http://{'com' if i % 3 == 0 else 'b.net/es' if i % 3 == 1 else 'x.org'}/{t}") for i, t in enumerate(texts)]
+    got = {r["page_id"]: r["ratio"] for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), url_filter.RULES).collect()}
+    seen = [{}, {}]
+    rest = lambda u: u.encode().split(b"://", 1)[1]
+    for i, u in urls:
+        r = rest(u)
+        if i % 3 < 2 and zlib.crc32(r) % url_filter.CALIBRATE:
+            for k in range(url_filter.ORDER + 1):
+                for j, b in enumerate(r + b"\x03"):
+                    c = (b"\x02" * url_filter.ORDER + r)[j + url_filter.ORDER - k : j + url_filter.ORDER]
+                    for g in (c, k), (c, k, b):
+                        seen[i % 3][g] = seen[i % 3].get(g, 0) + 1
+    for i, u in urls:
+        if i % 3 < 2:
+            assert got[i] is None
+        elif i < 60:
+            r, total = rest(u), 0.0
+            for j, b in enumerate(r + b"\x03"):
+                p = [1 / 256, 1 / 256]
+                for k in range(url_filter.ORDER + 1):
+                    c = (b"\x02" * url_filter.ORDER + r)[j + url_filter.ORDER - k : j + url_filter.ORDER]
+                    p = [(n.get((c, k, b), 0) + url_filter.WEIGHT * q) / (n.get((c, k), 0) + url_filter.WEIGHT) for n, q in zip(seen, p, strict=True)]
+                total += np.log(p[0] / p[1])
+            assert got[i] == pytest.approx(total / (len(r) + 1), abs=1e-12)
+
+
 @pytest.mark.parametrize(("fit", "score", "label", "modulus", "held"), [(quality.fit_quality, quality.score_quality, "quality", 3, 1), (toxicity.fit_toxicity, toxicity.score_toxicity, "toxic", 5, 0)])
 def test_held_out_accuracy(spark, odd_docs, no_docs, fit, score, label, modulus, held):
     folder = SF.replace("sf0.001", "sf0.01")

@@ -9,7 +9,9 @@ where one occurs at several, the windows around them are compared in full, and
 each is joined to the first place, by id and line, where the same window
 stands. The match then grows: to the left through the windows that begin
 earlier in the same run, to the right line by line through what follows both
-windows. The lines of every such later run are deleted, blank lines inside it
+windows. Where the first place goes on differently, each beginning of what
+follows the window has a first place of its own, and the match grows to the
+longest that stands earlier. The lines of every such later run are deleted, blank lines inside it
 too; first occurrences stay. Each deleted line stands word for word at an
 earlier place.
 
@@ -93,7 +95,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # the number of following lines that both have in common
     differ = F.array_position(F.zip_with("after", "first_after", lambda a, b: F.when(a.eqNullSafe(b), 0).otherwise(1)), 1)
     common = F.when(differ > 0, differ - 1).otherwise(F.size("after")).cast("int")
-    return later.select("id", "key", F.struct("start", F.get("ends", common).alias("end")).alias("run")).groupBy("id", "key").agg(F.collect_list("run").alias("runs"))
+    later = written(later.select("id", "key", "start", "window", "after", "ends", common.alias("common")), "later-windows")
+    # what has more in common with another place than with the first differs from the first there too
+    more = later.where(F.col("common") < F.size("after")).withColumn("n", F.explode(F.sequence(F.col("common") + 1, F.size("after"))))
+    more = more.select("id", "key", "start", "window", F.slice("after", F.lit(1), F.col("n")).alias("follows"), F.get("ends", F.col("n")).alias("end"))
+    shared = more.groupBy("window", "follows").agg(F.min(place("start")).alias("first"), F.max(place("start")).alias("last")).where("first <> last").drop("last")
+    longer = more.join(shared, ["window", "follows"]).where(place("start") > F.col("first")).groupBy("id", "key", "start").agg(F.max("end").alias("end"))
+    runs = later.select("id", "key", "start", F.get("ends", F.col("common")).alias("end")).unionByName(longer)
+    return runs.groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
@@ -135,29 +144,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brute_force(docs: list[tuple[int, str | None]], min_words: int = MIN_WORDS) -> dict[int, str | None]:
-    """The same on a few documents with distinct ids, by comparing all windows
-    with all earlier ones."""
-    windows, first = [], {}
+    """The same on a few documents with distinct ids, by the definition: from
+    each line the longest run that stands at some earlier place too, if it
+    holds min_words words."""
+    places: dict[bytes, list[tuple[list, int]]] = {}
+    gone: dict[int, set[int]] = {}
     for d, t in sorted(docs, key=lambda x: x[0]):
         lines = [(i, x.encode().strip()) for i, x in enumerate((t or "").split("\n")) if x.encode().split()]
-        for k in range(len(lines)):
-            held, end = 0, k
-            while end < len(lines) and held < min_words:
-                held += len(lines[end][1].split())
-                end += 1
-            if held >= min_words:
-                windows.append((d, lines, k, end))
-                first.setdefault(tuple(x for _, x in lines[k:end]), (d, lines, k, end))
-    gone: dict[int, set[int]] = {}
-    for d, lines, k, end in windows:
-        fd, fl, fk, fe = first[tuple(x for _, x in lines[k:end])]
-        if (fd, fk) == (d, k):
-            continue
-        held = 0
-        while end < len(lines) and fe < len(fl) and lines[end][1] == fl[fe][1] and held + len(lines[end][1].split()) < min_words:
-            held += len(lines[end][1].split())
-            end, fe = end + 1, fe + 1
-        gone.setdefault(d, set()).update(range(lines[k][0], lines[end - 1][0] + 1))
+        for k, (at, line) in enumerate(lines):
+            for other, j in places.get(line, ()):
+                n = held = 0
+                while k + n < len(lines) and j + n < len(other) and lines[k + n][1] == other[j + n][1]:
+                    held += len(lines[k + n][1].split())
+                    n += 1
+                if held >= min_words:
+                    gone.setdefault(d, set()).update(range(at, lines[k + n - 1][0] + 1))
+            places.setdefault(line, []).append((lines, k))
     return {d: t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in docs}
 
 

@@ -79,6 +79,13 @@ def test_lines_as_brute_force(spark, seed):
     assert got == line_dedup.brute_force(docs)
 
 
+def test_lines_that_an_earlier_place_but_not_the_first_goes_on_with(spark):
+    opening, tail, other = line(1, 60), line(2, 9), line(3, 9)
+    docs = [(1, opening), (2, f"{opening}\n{tail}\n{other}"), (3, f"{opening}\n{tail}\nnew"), (4, f"{opening}\n{tail}\n\n{other}\nend"), (5, f"{opening}\n{other}")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == line_dedup.brute_force(docs) == {1: opening, 2: f"{tail}\n{other}", 3: "new", 4: "end", 5: other}
+
+
 def test_lines_of_odd_rows(spark, odd_docs, no_docs):
     cut = line_dedup.dedup_lines(odd_docs.withColumn("n_lines", F.lit("clash")))
     assert cut.columns == [*odd_docs.columns, "n_lines", "n_removed"] and cut.count() == odd_docs.count()

@@ -1,11 +1,12 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 Documents with the same words in the same order are one class, represented by
-its smallest id. Each representative has a signature of BANDS * BAND minima;
+its smallest id and text key, and known by a number of its own, so texts that
+share an id stay apart until components get their ids. Each representative has a signature of BANDS * BAND minima;
 those that agree on a whole band share a bucket. At a similarity of 0.8 all
 bands miss with a probability of (1 - 0.8**5)**30, below 1e-5.
 
-In each bucket the smallest id is paired with the other members, not every
+In each bucket the smallest number is paired with the other members, not every
 member with every other. A pair's signatures are compared batch by batch: with
 a uniform prior, the posterior probability that the similarity reaches the
 threshold is known after each batch, and pairs for which it falls below MISS
@@ -156,8 +157,8 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def _sets(needed: DataFrame, docs: DataFrame, reps: DataFrame, size: int, id_col: str, text_col: str) -> Table:
     """(id, s): the full sets of the representatives in needed (rep)."""
-    keys = reps.select("rep", "key").join(needed, "rep")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).join(keys, (F.col("id") == F.col("rep")) & (F.col("t") == F.col("key"))).select("id", "text")
+    keys = reps.select("rep", F.col("id").alias("r_id"), "key").join(needed, "rep")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).join(keys, (F.col("id") == F.col("r_id")) & (F.col("t") == F.col("key"))).select(F.col("rep").alias("id"), "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,16 +220,16 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perce
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of docs: id_col, n_shingles, component_id (the
-    smallest id reachable through links), kept (whether that is its own), and
-    text_key (the xxhash64 of its text).
+    smallest id reachable through links), kept (whether that is its own, and of
+    several texts of that id the one of the smallest key), and text_key (the xxhash64 of its text).
 
     Two documents are linked when 100 * intersection >= percent * union of
     their sets of shingles of size words.
     """
     signed = Table(_sign(docs, id_col, text_col, size), "minhash")
-    classes = signed.df.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     first = F.struct("id", "key")
-    reps = Table(signed.df.where("n > 0 and id is not null").groupBy("digest").agg(F.min(first).alias("f"), F.min_by("n", first).alias("n"), F.min_by("sign", first).alias("sign")).select(F.col("f.id").alias("rep"), F.col("f.key").alias("key"), "n", "sign").dropDuplicates(["rep"]), "representatives")
+    classes = signed.df.where("n > 0 and id is not null").groupBy("digest").agg(F.min(first).alias("f"), F.min_by("n", first).alias("n"), F.min_by("sign", first).alias("sign"))
+    reps = Table(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", F.col("f.id").alias("id"), F.col("f.key").alias("key"), "n", "sign"), "representatives")
     members = _bands(reps.df)
     shared = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").drop("z")
     active = Table(members.join(shared, "bucket"), "buckets")
@@ -249,10 +250,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             components.drop()
             components = connected_components(links.df.unionByName(more.df))
     label = components.df.toDF("rep", "component")
-    named = classes.join(label, "rep", "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("component"))
+    named = reps.df.select("rep", F.col("digest").alias("d"), first.alias("own")).join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = named.join(named.groupBy("component").agg(F.min("own").alias("least")), "component").select("d", "least")
     out = signed.df.drop("sign").join(named, (F.col("digest") == F.col("d")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.col("key").alias("text_key"))
+    kept = F.coalesce(first == F.col("least"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least.id", "id").alias("component_id"), kept.alias("kept"), F.col("key").alias("text_key"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

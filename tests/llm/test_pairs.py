@@ -138,6 +138,15 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.where("doc_id = 5").count() == 0 and kept.count() == 7
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(1, a), (1, b), (1, c), (2, a + " more"), (3, b + " more"), (4, c + " more"), (5, c)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame).collect()]
+    assert sorted(got) == [(1, 1, True)] * 3 + [(i, 1, False) for i in (2, 3, 4, 5)]
+    assert sorted(r["text"] for r in near_dedup.drop_near_duplicates(frame).collect()) == [a, b, c]
+
+
 def test_sequential_bounds():
     steps = near_dedup.least_matches(0.8)
     assert [n for n, _ in steps] == list(range(25, 151, 25)) and all(m < 0.8 * n for n, m in steps)

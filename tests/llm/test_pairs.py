@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,8 +51,9 @@ def test_contamination(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.where("doc_id in (4, 5)").count() == 0 and kept.count() == 5
 
 
-def test_contamination_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SLICE", 3)
+def test_contamination_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PART", 3)
+    monkeypatch.setattr(decontaminate, "few", lambda frame: frame)
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet").limit(2)
     bench.createOrReplaceTempView("b2")
     got = {(r["doc_id"], r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, bench).collect()}
@@ -124,12 +126,45 @@ def near_docs():
     return [*docs, (900, None), (901, ""), (902, " \t"), (903, "One two"), (904, "one  TWO"), (905, "one two three")]
 
 
-def test_near_duplicates_as_brute_force(spark):
+@pytest.mark.parametrize("group", [512, 6])
+def test_near_duplicates_as_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(near_dedup, "GROUP", group)  # groups of more go to several tasks
     docs = near_docs()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=4).collect()}
     assert got == near_dedup.brute_force(docs, 4)
 
 
+def test_near_duplicates_of_a_sample(spark):
+    docs = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, size=4).collect()}
+    assert got == near_dedup.brute_force([tuple(r) for r in docs.collect()], 4)
+
+
+def test_a_family_without_links_gives_few_rows(spark, monkeypatch):
+    """Many texts that share buckets, all below the threshold: blocks are
+    compared, pairs are never rows."""
+    monkeypatch.setattr(near_dedup, "GROUP", 64)
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    docs = []
+    for d in range(400):
+        words = list(base)
+        for k in r.sample(range(150), 10):
+            words[k] = f"x{d}y{k}"
+        docs.append((d, " ".join(words)))
+    seen, table = [], near_dedup.Table
+
+    def counted(df, name, rows=None):
+        made = table(df, name, rows)
+        seen.append((name, made.df.count()))
+        return made
+
+    monkeypatch.setattr(near_dedup, "Table", counted)
+    rows = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows.collect()} == near_dedup.brute_force(docs, 4)
+    assert "blocks" in {n for n, _ in seen} and max(n for _, n in seen) <= 30 * len(docs)
+
+
 def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     got = sorted(((r["doc_id"] or 0, r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(odd_docs).collect()), key=str)
     assert got == sorted([(0, None, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (4, 4, True), (5, 4, False), (6, 6, True)], key=str)
@@ -147,6 +182,31 @@ def test_near_duplicates_of_a_repeated_id(spark):
     assert sorted(r["text"] for r in near_dedup.drop_near_duplicates(frame).collect()) == [a, b, c]
 
 
+def test_near_duplicates_whose_ids_have_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(100)) for x in "ab")
+    frame = spark.createDataFrame([(1, a), (1, b), (2, b + " zz"), (3, a + " zz")], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame, size=4).collect()]
+    assert sorted(got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+
+
 def test_sequential_bounds():
-    steps = near_dedup.least_matches(0.8)
+    bands = near_dedup.bands_for(80)
+    steps = near_dedup.least_matches(0.8, bands.minima)
     assert [n for n, _ in steps] == list(range(25, 151, 25)) and all(m < 0.8 * n for n, m in steps)
+    for percent in (40, 50, 70, 80, 95, 100):
+        number, size = near_dedup.bands_for(percent)
+        assert (1 - min(percent / 100, 0.99) ** size) ** number < near_dedup.MISS_BANDS
+    with pytest.raises(ValueError):
+        near_dedup.bands_for(20)
+
+
+def test_sets_are_exact():
+    r = random.Random(3)
+    texts = ["", None, " ", "a", "a b", "a  B"] + [" ".join(r.choice("abcdefgÉé") for _ in range(r.randrange(12))) for _ in range(300)]
+    for size in (2, 4, 5):
+        got = []
+        for _, flat, ends in near_dedup.shingle_sets(pa.array(texts), size):
+            got += [frozenset(x.tolist()) for x in np.split(flat, ends[:-1])]
+        words = [near_dedup.words_of(t or "") for t in texts]
+        expected = [frozenset({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else ()) for w in words]
+        assert len(set(zip(got, expected, strict=True))) == len(set(got)) == len(set(expected)) and [len(x) for x in got] == [len(x) for x in expected]

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Rows of an Arrow batch.
+ARROW_ROWS = 2_000
 #: Rows of a few numbers that are broadcast at most; more are shuffled.
 BROADCAST_ROWS = 500_000
 #: Rows of a few numbers that one file of a small table holds.
@@ -40,6 +44,27 @@ def fresh(names: Iterable[str], *wanted: str) -> list[str]:
     return out
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of ARROW_ROWS rows, where the session says nothing else, as
+    rows are whole texts: batches are held several times over by both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, ARROW_ROWS)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with the memory that a task has freed given back at its end, so that
+    idle Python workers, which Spark keeps, hold little."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return task
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -21,9 +21,12 @@ def labelled_sample(labels: DataFrame, label_col: str, learn: Column, most: int,
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, text, _label) of the sampled ids; the sample is bounded, so it is
-    broadcast and the texts are not shuffled."""
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_text", "_label")
+    """(_id, text, _label): one row for each sampled id that docs have, with the
+    text of the smallest hash where there are several. The sample is bounded,
+    so it is broadcast, and so is what the result can hold."""
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    one = own.groupBy("_id").agg(F.min_by(F.struct("_text", "_label"), F.xxhash64("_text")).alias("_own"))
+    return one.select("_id", "_own._text", "_own._label")
 
 
 def with_double(schema: T.StructType, name: str) -> T.StructType:

@@ -3,19 +3,23 @@
 A linear model over the words of a text and the beginnings of those words,
 each counted once. It learns from a bounded sample of labelled rows. Beside
 the log-loss it pays for every change of score that a swap of identity terms
-makes: in each labelled sentence that names a group, the terms are swapped for
-others of their kind, and the same is done in a few neutral sentences about
-each group. So the model gets no weight from the mention of a group alone.
+makes: in each sentence of the labelled rows that names a group, the terms are
+swapped for others of their kind, and the same is done in a few neutral
+sentences about each group. So the model gets no weight from the mention of a
+group alone. Of two swaps only the features that change matter; equal changes
+are sent and learned from once, with their number.
 
 Null and empty texts score as the bias does. With labels of one kind only, or
-none, every score is the labels' mean, or 0.5.
+none, every score is the labels' mean, or 0.5. Of several texts of one labelled
+id one is learned from. Other columns stay.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import text_slices
+from quillon.llm.common import released, short_batches
 from quillon.llm.labelled import crc_mod, labelled_sample, labelled_texts, with_double
 
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE_END = re.compile(r"[.!?\n]+")
 FEATURES = 1 << 20
 #: Labelled rows that are learned from, at most.
-MOST_LABELLED = 6_000
+MOST_LABELLED = 12_000
 #: Features of fewer labelled rows have no weight.
 LEAST_ROWS = 4
 CACHE_WORDS = 500_000
@@ -80,6 +85,16 @@ def features_of(words: set[str]) -> np.ndarray:
     return np.unique(np.fromiter((f for w in words for f in features(w)), np.int32))
 
 
+def change(words: set[str], other: dict[str, str]) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+    """The features that go and those that come when the identity terms among a
+    sentence's words are swapped; None where there are none."""
+    named = words & other.keys()
+    if not named:
+        return None
+    own, swapped = features_of(words), features_of((words - named) | {other[w] for w in named})
+    return tuple(np.setdiff1d(own, swapped, True).tolist()), tuple(np.setdiff1d(swapped, own, True).tolist())
+
+
 @dataclass
 class ToxicityModel:
     """weights: of the features that have one."""
@@ -106,80 +121,107 @@ class ToxicityModel:
                 found.update(own)
         return self.bias + sum(weights[f] for f in sorted(found))
 
-    def score(self, texts: list[str]) -> list[float]:
-        if self.prior is not None:
-            return [self.prior] * len(texts)
-        return [1 / (1 + float(np.exp(-np.clip(self.logit(t), -50, 50)))) for t in texts]
-
-
-def train(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], strength: float = 2.0, sparse: float = 2e-4, rounds: int = 400) -> tuple[dict[int, float], float]:
-    """Weights and bias by proximal Adam: log-loss, balanced by class, an L1
-    term and strength times the mean squared change over the swapped pairs."""
-    count = np.zeros(FEATURES, np.int64)
-    for r in rows:
-        count[r] += 1
-    used = np.nonzero(count >= LEAST_ROWS)[0]
-    place = np.full(FEATURES, -1, np.int32)
-    place[used] = np.arange(len(used))
-
-    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [place[s][place[s] >= 0] for s in sets]
-        return np.concatenate([*cols, np.zeros(0, np.int32)]), np.repeat(np.arange(len(sets), dtype=np.int32), [len(c) for c in cols])
-
-    col, row = flat(rows)
-    pc, pr = flat([a for a, _ in pairs])
-    qc, qr = flat([b for _, b in pairs])
-    positive = max(y.sum(), 1)
-    share = np.where(y == 1, 0.5 / positive, 0.5 / max(len(y) - positive, 1))
-    w, bias = np.zeros(len(used)), 0.0
+    def score(self, texts: Iterable[str]) -> list[float]:
+        z = [0.0 if self.prior is not None else self.logit(t) for t in texts]
+        return [self.prior] * len(z) if self.prior is not None else [1 / (1 + float(np.exp(-np.clip(x, -50, 50)))) for x in z]
+
+
+class Problem:
+    """What is learned from: rows of features with labels, and changes that
+    swaps make (the features that go and come, and how often)."""
+
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, swaps: dict[tuple, int], strength: float = 2.0):
+        count = np.zeros(FEATURES, np.int64)
+        for r in rows:
+            count[r] += 1
+        self.used = np.nonzero(count >= LEAST_ROWS)[0]
+        place = np.full(FEATURES, -1, np.int32)
+        place[self.used] = np.arange(len(self.used))
+
+        def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            cols = [place[s][place[s] >= 0] for s in sets]
+            return np.concatenate([*cols, np.zeros(0, np.int32)]), np.repeat(np.arange(len(sets), dtype=np.int32), [len(c) for c in cols])
+
+        self.col, self.row = flat(rows)
+        self.gone, self.gone_of = flat([np.asarray(a, np.int32) for a, _ in swaps])
+        self.come, self.come_of = flat([np.asarray(b, np.int32) for _, b in swaps])
+        times = np.array(list(swaps.values()), float)
+        self.pull = strength * times / max(times.sum(), 1)
+        positive = max(y.sum(), 1)
+        self.y, self.share = y, np.where(y == 1, 0.5 / positive, 0.5 / max(len(y) - positive, 1))
+
+    def _changes(self, w: np.ndarray) -> np.ndarray:
+        n = len(self.pull)
+        return np.bincount(self.gone_of, w[self.gone], n) - np.bincount(self.come_of, w[self.come], n)
+
+    def loss(self, w: np.ndarray, bias: float) -> float:
+        """The log-loss, balanced by class, and the pull-weighted mean squared
+        change over the swaps."""
+        z = np.bincount(self.row, w[self.col], len(self.y)) + bias
+        return float(np.sum(self.share * (np.logaddexp(0, z) - self.y * z)) + np.sum(self.pull * self._changes(w) ** 2))
+
+    def gradient(self, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        z = np.bincount(self.row, w[self.col], len(self.y)) + bias
+        g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - self.y) * self.share
+        grad = np.bincount(self.col, g[self.row], len(w))
+        if len(self.pull):
+            gap = 2 * self.pull * self._changes(w)
+            grad += np.bincount(self.gone, gap[self.gone_of], len(w)) - np.bincount(self.come, gap[self.come_of], len(w))
+        return grad, float(g.sum())
+
+
+def train(rows: list[np.ndarray], y: np.ndarray, pairs: dict[tuple, int], strength: float = 2.0, sparse: float = 2e-4, rounds: int = 400) -> tuple[dict[int, float], float]:
+    """Weights and bias by proximal Adam: the problem's loss and an L1 term."""
+    problem = Problem(rows, y, pairs, strength)
+    w, bias = np.zeros(len(problem.used)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
-        z = np.bincount(row, w[col], len(rows)) + bias
-        g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * share
-        grad = np.bincount(col, g[row], len(used))
-        if pairs:
-            gap = (np.bincount(pr, w[pc], len(pairs)) - np.bincount(qr, w[qc], len(pairs))) * (2 * strength / len(pairs))
-            grad += np.bincount(pc, gap[pr], len(used)) - np.bincount(qc, gap[qr], len(used))
+        grad, slope = problem.gradient(w, bias)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.999 * vb + 0.001 * g.sum() ** 2
+        mb, vb = 0.9 * mb + 0.1 * slope, 0.999 * vb + 0.001 * slope**2
         rate = 0.05
         root = np.sqrt(v / (1 - 0.999**step)) + 1e-6
         w = w - rate * (m / (1 - 0.9**step)) / root
         w = np.sign(w) * np.maximum(np.abs(w) - rate * sparse / root, 0)
         bias -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.999**step)) + 1e-6)
     kept = np.nonzero(w)[0]
-    return dict(zip(used[kept].tolist(), w[kept].tolist(), strict=True)), float(bias)
+    return dict(zip(problem.used[kept].tolist(), w[kept].tolist(), strict=True)), float(bias)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn=None, label_col: str = "toxic", most: int = MOST_LABELLED) -> ToxicityModel:
     """Learns from at most so many labelled rows that fulfil learn.
 
-    The workers send hashed features, never texts; a row that names a group
-    comes with its swapped form.
+    The workers send hashed features, never texts, and the changes that swaps
+    make in a row's sentences.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = swaps()
         for batch in batches:
-            own, swapped = [], []
+            own, changes = [], []
             for t in batch.column(1).to_pylist():
-                words = words_of(t or "")
-                own.append(features_of(words))
-                named = words & other.keys()
-                swapped.append(features_of((words - named) | {other[w] for w in named}) if named else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))], ["_id", "_label", "own", "swapped"])
+                own.append(features_of(words_of(t or "")))
+                seen = Counter(c for part in SENTENCE_END.split(t or "") if (c := change(words_of(part), other)))
+                changes.append([{"gone": a, "come": b, "times": n} for (a, b), n in seen.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.list_(pa.int32())), pa.array(changes, kinds)], ["_id", "_label", "own", "changes"])
+
+    kinds = pa.list_(pa.struct([("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32())), ("times", pa.int64())]))
 
+    short_batches(docs.sparkSession)
     pairs = labelled_texts(docs, labelled_sample(labels, label_col, F.lit(True) if learn is None else learn, most))
     kind = pairs.schema["_id"].dataType.simpleString()
-    got = pairs.mapInArrow(run, f"_id {kind}, _label double, own array<int>, swapped array<int>").toPandas().sort_values("_id", kind="stable")
+    got = pairs.mapInArrow(released(run), f"_id {kind}, _label double, own array<int>, changes array<struct<gone:array<int>,come:array<int>,times:bigint>>").toPandas().sort_values("_id", kind="stable")
     y = got["_label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, 0.0, float(y.mean()) if len(y) else 0.5)
     rows = [np.asarray(r, np.int32) for r in got["own"]]
-    changed = [(a, np.asarray(b, np.int32)) for a, b in zip(rows, got["swapped"], strict=True) if b is not None]
+    changed: Counter[tuple] = Counter()
+    for each in got["changes"]:
+        for c in each:
+            changed[tuple(c["gone"]), tuple(c["come"])] += int(c["times"])
     other = swaps()
     for sentence in NEUTRAL:
-        changed += [(features_of(words_of(sentence.format(a))), features_of(words_of(sentence.format(b)))) for a, b in other.items()]
+        changed.update(change(words_of(sentence.format(a)), other) for a in other)
     del got
     weights, bias = train(rows, y, changed)
     return ToxicityModel(weights, bias)
@@ -194,10 +236,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [s for _, texts in text_slices(batch.column(at).to_pylist()) for s in held.value.score(texts)]
+            scores = held.value.score(t.as_py() or "" for t in batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, score_col])
 
-    return docs.mapInArrow(run, with_double(docs.schema, score_col))
+    return docs.mapInArrow(released(run), with_double(docs.schema, score_col))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,10 @@ longest that stands earlier. The lines of every such later run are deleted, blan
 too; first occurrences stay. Each deleted line stands word for word at an
 earlier place.
 
+A window carries the hashes of what follows it: at most min_words - 1 lines,
+which only texts of lines of single words reach. Tasks hand windows on by the
+thousand. Other columns, whatever their names, stay.
+
 Lines are compared without white space at their ends. Null texts stay null,
 empty ones empty. Rows of one id and one text are one document: neither is
 later than the other. Rows without an id come after all others.
@@ -31,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.bpe import text_slices
-from quillon.llm.common import written
+from quillon.llm.common import BROADCAST_ROWS, Table, few, fresh, released, short_batches, written
 
 #: Words that a repeated run must hold.
 MIN_WORDS = 50
+#: Windows that a task holds before it hands them on.
+HELD_WINDOWS = 20_000
 
 
 def line_windows(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes, list[int], list[int]]]:
@@ -70,26 +75,37 @@ def line_windows(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, i
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, key, runs): for each document with later runs the first and last
     line of each; key tells apart texts of one id."""
+    short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    names = ["id", "key", "start", "pick", "mark", "window", "after", "ends"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in text_slices(batch.column(2).to_pylist()):
-                rows, cols = [], [[] for _ in range(6)]
-                for i, t in enumerate(texts, first):
-                    for window in line_windows(t, min_words):
-                        rows.append(i)
-                        for c, v in zip(cols, window, strict=True):
-                            c.append(v)
+            rows, cols = [], [[] for _ in kinds]
+
+            def made() -> pa.RecordBatch:
                 take = pa.array(rows, pa.int64())
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "key", "start", "pick", "mark", "window", "after", "ends"])
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+                for held in (rows, *cols):
+                    held.clear()
+                return out
+
+            for i, t in enumerate(batch.column(2)):
+                for window in line_windows(t.as_py() or "", min_words):
+                    rows.append(i)
+                    for c, v in zip(cols, window, strict=True):
+                        c.append(v)
+                    if len(rows) >= HELD_WINDOWS:
+                        yield made()
+            yield made()
 
     source = docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col)).toDF("id", "key", "text")
-    windows = written(source.mapInArrow(cut, f"id {kind}, key bigint, start int, pick int, mark bigint, window binary, after array<bigint>, ends array<int>"), "line-windows")
+    windows = written(source.mapInArrow(released(cut), f"id {kind}, key bigint, start int, pick int, mark bigint, window binary, after array<bigint>, ends array<int>"), "line-windows")
     place = lambda line: F.struct(F.col("id").isNull().alias("late"), "id", "key", F.col(line).alias("line"))
-    marks = windows.groupBy("mark").agg(F.min(place("pick")).alias("a"), F.max(place("pick")).alias("b")).where("a <> b").select("mark")
-    alike = windows.join(marks, "mark", "left_semi").select("id", "key", "start", "window", "after", "ends")
+    at = F.xxhash64("id", "key", "pick")
+    marks = Table(windows.groupBy("mark").agg(F.min(at).alias("a"), F.max(at).alias("b")).where("a <> b").select("mark"), "line-marks")
+    alike = windows.join(few(marks.df), "mark", "left_semi").select("id", "key", "start", "window", "after", "ends")
     firsts = alike.groupBy(F.col("window").alias("w")).agg(F.min(place("start")).alias("first"), F.max(place("start")).alias("last"), F.min_by("after", place("start")).alias("first_after")).where("first <> last").drop("last")
     later = alike.join(firsts, F.col("window") == F.col("w")).where(place("start") > F.col("first"))
     # the number of following lines that both have in common
@@ -109,9 +125,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the later runs deleted from text_col, and behind its columns
     lines_col and removed_col (lines before, and deleted; 0 for null text), in
     place of any columns of those names. One row for each row."""
-    runs = repeated_runs(docs, id_col, text_col, min_words).toDF("_run_id", "_run_key", "_runs")
+    own_id, own_key, own_runs = fresh(docs.columns, "run_id", "run_key", "runs")
+    runs = Table(repeated_runs(docs, id_col, text_col, min_words).toDF(own_id, own_key, own_runs), "line-runs")
+    n = runs.df.agg(F.coalesce(F.sum(F.size(own_runs)), F.lit(0))).first()[0]
     docs = docs.drop(lines_col, removed_col)
-    joined = docs.join(runs, F.col(id_col).eqNullSafe(F.col("_run_id")) & (F.xxhash64(text_col) == F.col("_run_key")), "left").drop("_run_id", "_run_key")
+    joined = docs.join(F.broadcast(runs.df) if n <= BROADCAST_ROWS else runs.df, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_key)), "left").drop(own_id, own_key)
     names = docs.columns
     at, n = names.index(text_col), len(names)
 
@@ -133,7 +151,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*names, lines_col, removed_col])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(lines_col, T.LongType()), T.StructField(removed_col, T.LongType())])
-    return joined.mapInArrow(delete, schema)
+    return joined.mapInArrow(released(delete), schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

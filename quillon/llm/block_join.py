@@ -9,8 +9,14 @@ again from the original vectors in double precision, component by component,
 and heaps merge the k nearest of each tile. The result is exact.
 
 Vectors that are null, zero or hold null or non-finite components take no part;
-neither do rows without an id. A query meets candidates of its own length and
-never rows of its own id. Ties go to the smaller id. With no valid vectors the
+neither do rows without an id. Rows of one id and one vector are one row;
+vectors that share an id are rows of their own, but never of each other's
+nearest. A query meets candidates of its own length. Blocks go by a hash of id
+and vector, and their sizes by the number of vectors of a length, so neither a
+repeated id nor a single long vector makes blocks large or many. Each vector is
+copied to as many tiles as the other side has blocks: with n vectors and q
+queries of d components, n * q * d / 2**20 vectors are moved. Ties go to the
+smaller id. With no valid vectors the
 result is empty. Columns other than the id and the vector are ignored.
 """
 
@@ -24,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.common import written
+
 #: Components that a block holds at most, and tiles aimed at for small inputs.
 BLOCK_VALUES, LEAST_TILES = 1 << 20, 16
 #: Rows of a tile that are multiplied at once, and pairs recomputed at once.
@@ -95,18 +103,21 @@ def block_nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "v
     bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     part = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & ~bad & F.exists(vector_col, lambda x: x != 0)
     kind = vectors.schema[vector_col].dataType.elementType.simpleString()
-    valid = vectors.where(part).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind if kind == 'float' else 'double'}>").alias("v"), is_query.alias("is_query")).withColumn("dim", F.size("v"))
-    n, n_q, dim = valid.agg(F.count("*"), F.count_if("is_query"), F.max("dim")).first()
+    valid = vectors.where(part).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind if kind == 'float' else 'double'}>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    valid = valid.distinct().withColumn("dim", F.size("v"))
+    most = F.greatest(F.lit(64), F.floor(F.lit(BLOCK_VALUES) / F.col("dim")))
+    blocks = valid.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("is_query").alias("n_q")).where("n_q > 0")
+    c_most = F.least(most, F.greatest(F.lit(1024), F.ceil(F.col("n") / LEAST_TILES)))
+    blocks = written(blocks.select(F.col("dim").alias("b_dim"), F.ceil(F.col("n") / c_most).cast("int").alias("cbs"), F.ceil(F.col("n_q") / most).cast("int").alias("qbs"), F.least(most, F.col("n_q")).alias("held")), "blocks")
+    n_q, c_blocks, held = blocks.agg(F.count("*"), F.max("cbs"), F.max("held")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n_q:
         return vectors.sparkSession.createDataFrame([], schema)
-    most = max(64, BLOCK_VALUES // dim)
-    c_blocks = -(-n // min(most, max(1024, -(-n // LEAST_TILES))))
-    q_blocks = -(-n_q // most)
-    block = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    candidates = valid.select(F.col("dim").alias("c_dim"), block(c_blocks).alias("c_cb"), every(q_blocks).alias("c_qb"), F.col("id").alias("c_id"), F.col("v").alias("c_v"))
-    queries = valid.where("is_query").select("dim", every(c_blocks).alias("cb"), block(q_blocks).alias("qb"), "id", "v")
+    block = lambda number: F.pmod(F.xxhash64("id", "v"), F.col(number)).cast("int")
+    every = lambda number: F.explode(F.sequence(F.lit(0), F.col(number) - 1))
+    valid = valid.join(blocks, F.col("dim") == F.col("b_dim"))
+    candidates = valid.select(F.col("dim").alias("c_dim"), block("cbs").alias("c_cb"), every("qbs").alias("c_qb"), F.col("id").alias("c_id"), F.col("v").alias("c_v"))
+    queries = valid.where("is_query").select("dim", every("cbs").alias("cb"), block("qbs").alias("qb"), "id", "v")
 
     def tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         dim, cb, qb = (x.as_py() for x in key)
@@ -131,7 +142,7 @@ def block_nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "v
         return pa.table(out if last else out | {"cb": pa.array(cols[4], pa.int32()), "qb": pa.array(cols[5], pa.int32())})
 
     # queries of a block are merged in groups of about 64, the tiles by FAN at a time
-    slot = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(max(1, min(most, n_q) // 64))).alias("slot")
+    slot = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(max(1, held // 64))).alias("slot")
     while c_blocks > FAN:
         found = found.groupBy("qb", slot, F.floor(F.col("cb") / FAN)).applyInArrow(lambda t: merge(t, False), schema + ", cb int, qb int").select("cb", "qb", "query_id", "vec_id", "score")
         c_blocks = -(-c_blocks // FAN)

@@ -21,7 +21,8 @@ reach GENERALISE if they met as often as their own counts allow; the bound is
 exact, so no pair is lost. Documents are read twice, once for the patterns and
 once to count terms; only what documents with base spans hold, and counts, are
 shuffled. Null texts are empty; spans count code points, ends exclusive. Rows
-of one id and one text get the same spans.
+of one id and one text get the same spans. Other columns, whatever their names,
+are kept by sanitise and ignored by pii_spans. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Table, written
+from quillon.llm.common import BROADCAST_ROWS, Table, fresh, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Shortest term, in letters.
@@ -217,9 +218,12 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text sanitised; null texts stay null. All columns stay."""
-    spans = pii_spans(docs, id_col, text_col).dropDuplicates([id_col, "text_key"]).toDF("_id", "_key", "_spans").where(F.size("_spans") > 0)
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_key")), "left")
-    new = F.when(F.col("_spans").isNotNull(), sanitised(F.col(text_col), F.col("_spans"))).otherwise(F.col(text_col))
+    own_id, own_key, own_spans = fresh(docs.columns, "pii_id", "pii_key", "pii_spans")
+    spans = pii_spans(docs, id_col, text_col).dropDuplicates([id_col, "text_key"]).toDF(own_id, own_key, own_spans).where(F.size(own_spans) > 0)
+    spans = written(spans, "spans")
+    n = spans.agg(F.coalesce(F.sum(F.size(own_spans)), F.lit(0))).first()[0]
+    joined = docs.join(F.broadcast(spans) if n <= BROADCAST_ROWS else spans, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_key)), "left")
+    new = F.when(F.col(own_spans).isNotNull(), sanitised(F.col(text_col), F.col(own_spans))).otherwise(F.col(text_col))
     return joined.withColumn(text_col, new).select(*docs.columns)
 
 

@@ -5,7 +5,8 @@ that has a right neighbour, ``rank * size + position``; the root therefore
 names the leftmost pair of the lowest rank. A merge changes three leaves, and
 each change climbs one path to the root. Words of up to 64 symbols are merged
 many at a time, row by row of one numpy tree; longer ones have a tree of their
-own. Each distinct word of a batch is merged once.
+own. Texts are cut into chunks between ASCII white space as arrays; each
+distinct chunk of a slice is looked up once and each distinct word merged once.
 
 Nulls encode as empty text. Unused truncation and padding are ignored; texts
 of any length are encoded whole.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -23,13 +25,24 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.common import released, short_batches
+from quillon.llm.wordcut import ChunkCache, joined
+
 #: White space as the tokenizer's own regex engine has it.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: Letters outside these ranges may be newer to one Unicode table than another;
 #: the library itself cuts texts that hold them.
 UNSURE = regex.compile(r"[^\x00-\u0557\u0600-\u06ff\u2000-\u206f\u20a0-\u20bf\u2100-\u214f\u2190-\u23ff\u2500-\u27bf\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]")
+#: Fixed value: the rule of word cutting that QUICK_WORDS stands for.
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-cased chunks of the letters that QUICK takes; none of them
+#: is changed by normalising.
+QUICK = re.compile(r"[!-@\[-~ß-öø-ÿ]+")
+QUICK_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: More words than this are not kept in a worker's memory at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
+#: Pairs that share a row of the table of ranks at most.
+SLOTS = 8
 NONE = np.iinfo(np.int64).max
 
 
@@ -59,15 +72,23 @@ class WordBpe:
         self.last = np.array([vocab[c + self.suffix] for c in letters], np.int64)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self._place(keys)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.rank_of = dict(zip(keys.tolist(), range(len(pairs)), strict=True))
         self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.chunks = ChunkCache(self._pieces)
         self.content, self.split_rule, self.library = content, split["pattern"]["Regex"], None
 
     # words ---------------------------------------------------------------
 
+    def chunk_words(self, chunk: str) -> list[str]:
+        """The words of a lower-cased chunk between white space."""
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk]
+        if "<|" not in chunk and self.split_rule == RULE and QUICK.fullmatch(chunk):
+            return QUICK_WORDS.findall(chunk)
+        return self.words(chunk)
+
     def words(self, text: str) -> list[str]:
         """Words as the file's normalizer and pre-tokenizer cut them; special
         tokens in the text stay whole."""
@@ -92,12 +113,27 @@ class WordBpe:
 
     # merging -------------------------------------------------------------
 
+    def _place(self, keys: np.ndarray) -> None:
+        """Pairs and their ranks in a table of hashed rows of SLOTS."""
+        self.bits, self.factor = 16, np.uint64(0x9E3779B97F4A7C15)
+        while True:
+            row = (keys.astype(np.uint64) * self.factor >> np.uint64(64 - self.bits)).astype(np.int64)
+            order = np.argsort(row, kind="stable")
+            sizes = np.bincount(row, minlength=1 << self.bits)
+            if sizes.max(initial=0) <= SLOTS:
+                break
+            self.bits += 1
+        slot = np.arange(len(keys)) - (np.cumsum(sizes) - sizes)[row[order]]
+        self.pairs, self.ranks = np.full((1 << self.bits, SLOTS), -1, np.int64), np.full((1 << self.bits, SLOTS), NONE)
+        self.pairs[row[order], slot], self.ranks[row[order], slot] = keys[order], order
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair; NONE where the two do not merge."""
-        key = (a << 32) | b
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
+        key = np.where((a >= 0) & (b >= 0), (a << 32) | b, -2)
+        row = (key.astype(np.uint64) * self.factor >> np.uint64(64 - self.bits)).astype(np.int64)
+        same = self.pairs[row] == key[:, None]
+        slot = same.argmax(1)
+        return np.where(same[np.arange(len(key)), slot], self.ranks[row, slot], NONE)
 
     def _merge_rows(self, words: list[bytes], size: int) -> tuple[np.ndarray, list[int]]:
         """Words of 2 to size bytes, in rows of one array of segment trees: the
@@ -251,22 +287,37 @@ class WordBpe:
         for part, ids, ends in self._encoded(words):
             packed, tokens, at = ids.astype("<u4").tobytes(), list(map(token, ids.tolist())), 0
             for w, end in zip(part, ends, strict=True):
-                cache[w] = (packed[4 * at : 4 * end], " ".join(tokens[at:end]).encode())
+                cache[w] = (packed[4 * at : 4 * end], (" ".join(tokens[at:end]) + " ").encode())
                 at = end
 
-    def encoded_and_decoded(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """Of each text its ids (little-endian, 32 bits) and the decoded text
-        in UTF-8, both put together from what its words gave."""
-        cut = [self.words(t) for t in texts]
+    def _pieces(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids of each chunk (little-endian, 32 bits), and its tokens in
+        UTF-8, each with a space behind."""
+        cut = list(map(self.chunk_words, chunks))
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        missing = set().union(*cut).difference(self.cache) if cut else set()
-        if missing:
-            self._learn(missing)
-        cache = self.cache
+        self._learn({w for words in cut for w in words}.difference(self.cache))
+        cache, out = self.cache, []
         for words in cut:
             pairs = [cache[w] for w in words]
-            yield b"".join([p[0] for p in pairs]), b" ".join([p[1] for p in pairs])
+            out.append(pairs[0] if len(pairs) == 1 else (b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
+        return out
+
+    def forget(self) -> None:
+        """Gives back what a task has gathered; an idle worker holds no words."""
+        self.cache = {}
+        self.chunks.clear()
+
+    def encoded_and_decoded(self, column: pa.Array) -> Iterator[tuple[int, list[memoryview], list[memoryview]]]:
+        """By slices of a column of texts: the first text's place, of each text
+        its ids (little-endian, 32 bits) and the decoded text in UTF-8."""
+        for first, upto, numbers, values in self.chunks.of(column):
+            parts = []
+            for k in (0, 1):
+                data, places = joined([v[k] for v in values], numbers)
+                ends, raw = places[upto].tolist(), memoryview(data)
+                parts.append([raw[a : max(a, b - k)] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
+            yield first, *parts
 
 
 _held: dict[str, WordBpe] = {}
@@ -280,19 +331,6 @@ def worker_bpe(content: str) -> WordBpe:
     return _held[key]
 
 
-def text_slices(texts: list[str | None], most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Slices of a batch with about so many characters each."""
-    part, size, first = [], 0, 0
-    for i, t in enumerate(texts):
-        part.append(t or "")
-        size += len(part[-1])
-        if size >= most:
-            yield first, part
-            part, size, first = [], 0, i + 1
-    if part:
-        yield first, part
-
-
 def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes and decodes every text.
 
@@ -309,20 +347,17 @@ def bpe_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker_bpe(content.value)
         for batch in batches:
-            for first, texts in text_slices(batch.column(1).to_pylist()):
-                n, a, b, more = [], [], [], []
-                for ids, decoded in bpe.encoded_and_decoded(texts):
-                    n.append(len(ids) // 4)
-                    a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(decoded).hexdigest())
-                    if with_ids:
-                        more.append((np.frombuffer(ids, "<u4").astype(np.int32), decoded.decode()))
-                cols = {id_col: batch.column(0).slice(first, len(texts)), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
+            for first, ids, decoded in bpe.encoded_and_decoded(batch.column(1)):
+                digests = [pa.array([hashlib.sha256(x).hexdigest() for x in part], pa.string()) for part in (ids, decoded)]
+                columns = [batch.column(0).slice(first, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64()), *digests]
                 if with_ids:
-                    cols |= {"ids": pa.array([m[0] for m in more], pa.list_(pa.int32())), "decoded": pa.array([m[1] for m in more], pa.string())}
-                yield pa.RecordBatch.from_pydict(cols)
+                    columns += [pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([bytes(x).decode() for x in decoded], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.forget()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
+    short_batches(spark)
+    return docs.select(id_col, text_col).mapInArrow(released(run), schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

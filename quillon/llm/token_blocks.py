@@ -27,19 +27,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.bpe import WordBpe, text_slices
-from quillon.llm.common import Table
+from quillon.llm.bpe import WordBpe, byte_letters
+from quillon.llm.common import Table, released, short_batches
+from quillon.llm.wordcut import ChunkCache, joined
 
 BLOCK = 1024
 LANES = BLOCK // 64
 HEAD = struct.Struct("<4sQQQ")
 BLOCK_HEAD = struct.Struct("<IBH")
-#: Ids a file holds before the next begins; a longer document has a file of its own.
+#: Ids a file holds before the next begins; a document is never cut.
 FILE_IDS = 1_000_000
 #: The share of a block's differences that its width must hold.
 PERCENTILE = 0.9
-#: Chunks between white space that a worker keeps encoded.
-CACHE_CHUNKS = 700_000
+#: Words that a worker keeps encoded.
+CACHE_WORDS = 100_000
 
 
 def _pack(rows: np.ndarray, width: int) -> np.ndarray:
@@ -168,63 +169,49 @@ class ChunkEncoder:
 
     The file's normalizer lower-cases and its pre-tokenizer drops white space
     and looks at nothing beyond it, so lower-cased chunks can be encoded one by
-    one; chunks that are not a word are put together from their words. Words
-    that are not cached go to the library as one text: the ids that end a word
-    tell where each one's end. Texts with control letters that Python, but not
-    the library, takes for white space, or with what may be a special token, go
-    to it whole.
+    one. Chunks are cut into words by the file's rule; the library's model
+    encodes each distinct word that is not kept, and single special tokens have
+    the library's ids.
     """
 
-    ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-
     def __init__(self, content: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        tokenizer = Tokenizer.from_str(content)
+        self.model = tokenizer.model
         self.rules = WordBpe(content)
-        vocab = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocab.items() if t.endswith(self.rules.suffix)]] = True
-        self.cache: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        cache = self.cache
-        parts = {c: self.rules.words(c) for c in chunks if not (c.isascii() and c.isalpha())}
-        words = chunks.difference(parts)
-        words.update(w for p in parts.values() for w in p)
-        words = [w for w in words if w not in cache]
-        for k in range(0, len(words), 20_000):
-            own = words[k : k + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
-            ends = np.nonzero(self.ends_word[ids])[0] + 1
-            if len(ends) == len(own):
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(own, (4 * ends).tolist(), strict=True):
-                    cache[w] = raw[at:end]
-                    at = end
-            else:  # a word that the library cuts further
-                cache.update(zip(own, self._library(own), strict=True))
-        for c, p in parts.items():
-            cache[c] = b"".join([cache[w] for w in p])
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        cut = [None if any(c in t for c in self.ODD) else t.replace("Σ", "σ").lower().split() for t in texts]
-        got = [None if c is None else list(map(self.cache.get, c)) for c in cut]
-        missing = {c for chunks, ids in zip(cut, got, strict=True) if chunks and None in ids for c, x in zip(chunks, ids, strict=True) if x is None}
-        if missing:
-            self._learn(missing)
-        for t, chunks, ids in zip(texts, cut, got, strict=True):
-            if chunks is None:
-                yield self._library([t])[0]
-            else:
-                yield b"".join([self.cache[c] if x is None else x for c, x in zip(chunks, ids, strict=True)] if None in ids else ids)
+        self.letters = byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.chunks = ChunkCache(self._pieces)
+
+    def _word(self, word: str) -> bytes:
+        if word in self.rules.special:
+            return struct.pack("<I", self.rules.special[word])
+        plain = word.isascii() and word.isprintable()  # such letters stand for themselves
+        return array("I", [t.id for t in self.model.tokenize(word if plain else "".join([self.letters[b] for b in word.encode()]))]).tobytes()
+
+    def _pieces(self, chunks: list[str]) -> list[bytes]:
+        cut = list(map(self.rules.chunk_words, chunks))
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        words = self.words
+        for own in cut:
+            for w in own:
+                if w not in words:
+                    words[w] = self._word(w)
+        return [words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own]) for own in cut]
+
+    def forget(self) -> None:
+        """Gives back what a task has gathered; an idle worker holds no words."""
+        self.words = {}
+        self.chunks.clear()
+
+    def encode(self, column: pa.Array, end: bytes = b"") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """By slices of a column of texts: the first text's place, all ids, with
+        those of end behind each text, and where the ids of each text end."""
+        for first, upto, numbers, values in self.chunks.of(column):
+            data, places = joined([*values, end], np.insert(numbers, upto, len(values)))
+            yield first, data.view("<u4"), places[upto + np.arange(1, len(upto) + 1)] // 4
 
 
 _held: dict[int, ChunkEncoder] = {}
@@ -238,44 +225,49 @@ def worker_encoder(content: str) -> ChunkEncoder:
     return _held[key]
 
 
-def write_token_files(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], Iterator[bytes]]], end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> Table:
+def write_token_files(docs: DataFrame, encoder: Callable[[], ChunkEncoder], end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> Table:
     """Encodes docs into files, in ascending order of id_col (an integer; nulls
     first, rows of one id in the order of their texts).
 
-    encoder: gives, in a worker, a function from texts to ids (little-endian,
-    32 bits). The files are the rows of a table in the shared folder, which
+    encoder: gives, in a worker, what encodes there. The files are the rows of a table in the shared folder, which
     every store that Spark writes can hold: shard and file number them in
     order; before is the number of ids that its shard has before a file.
     """
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder()
+        own = encoder()
         shard = TaskContext.get().partitionId()
         doc_ids, ends, parts, size, done, number = [], [], [], 0, 0, 0
 
         def file() -> pa.RecordBatch:
             nonlocal doc_ids, ends, parts, size, done, number
-            content = encode_file(doc_ids, ends, np.frombuffer(b"".join(parts), "<u4"))
+            content = encode_file(doc_ids, ends, np.concatenate(parts))
             row = pa.RecordBatch.from_pydict({"shard": [shard], "file": [number], "before": [done], "n_ids": [size], "content": [content]})
             done, number, doc_ids, ends, parts, size = done + size, number + 1, [], [], [], 0
             return row
 
         tail = b"" if end_id is None else struct.pack("<I", end_id)
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            for first, texts in text_slices(batch.column(1).to_pylist()):
-                for d, ids in zip(own[first : first + len(texts)], encode(texts), strict=True):
-                    parts += (ids, tail)
-                    size += (len(ids) + len(tail)) // 4
-                    doc_ids.append(d)
-                    ends.append(size)
+            ids_of = batch.column(0).to_pylist()
+            for first, ids, places in own.encode(batch.column(1), tail):
+                at = 0
+                # whole documents, until a file is full
+                while at < len(places):
+                    begin = int(places[at - 1]) if at else 0
+                    last = min(len(places), int(np.searchsorted(places, begin + FILE_IDS - size)) + 1)
+                    doc_ids += ids_of[first + at : first + last]
+                    ends += (places[at:last] - begin + size).tolist()
+                    parts.append(ids[begin : int(places[last - 1])])
+                    size, at = ends[-1], last
                     if size >= FILE_IDS:
                         yield file()
         if doc_ids:
             yield file()
+        own.forget()
 
-    return Table(ordered.mapInArrow(run, "shard long, file long, before long, n_ids long, content binary"), "token-files")
+    short_batches(docs.sparkSession)
+    return Table(ordered.mapInArrow(released(run), "shard long, file long, before long, n_ids long, content binary"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -312,5 +304,5 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())  # one file of fixed size
-    files = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), lambda: worker_encoder(content.value).encode, 2)
+    files = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), lambda: worker_encoder(content.value), 2)
     return read_token_files(files.df)

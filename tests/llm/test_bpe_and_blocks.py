@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,12 +17,23 @@ LIBRARY, OWN, CHUNKS = tokenizers.Tokenizer.from_file(PATH), WordBpe(CONTENT), C
 ODD = ["", "ΣΑΣ İstanbul can't we'll I'D 123 !!!\x1cfoo\x1dbar a<|endoftext|>B <|STARTOFTEXT|>", "é́é ﬁ 日本語 \U0001f600‍", "x" * 300 + "!?" * 500 + "   z\x85y", "ab" * 40 + "ÀÉ" * 50, "a" * 4000]
 
 
+def chunked(texts):
+    out = []
+    for _, ids, ends in CHUNKS.encode(pa.array(texts, pa.string())):
+        out += [x.tolist() for x in np.split(ids, ends[:-1])]
+    return out
+
+
+def decoded(texts):
+    return [(np.frombuffer(i, "<u4").tolist(), bytes(d).decode()) for _, a, b in OWN.encoded_and_decoded(pa.array(texts, pa.string())) for i, d in zip(a, b, strict=True)]
+
+
 @pytest.mark.parametrize("text", ODD)
 def test_as_the_library(text):
     expected = LIBRARY.encode(text, add_special_tokens=False).ids
     assert OWN.encode(text) == expected
     assert OWN.decode(expected) == LIBRARY.decode(expected, skip_special_tokens=False)
-    assert np.frombuffer(next(CHUNKS.encode([text])), "<u4").tolist() == expected
+    assert chunked([text]) == [expected]
 
 
 def test_sure_letters_are_alike():
@@ -38,7 +50,15 @@ def test_sure_letters_are_alike():
 def test_any_text(text):
     expected = LIBRARY.encode(text, add_special_tokens=False).ids
     assert OWN.encode(text) == expected
-    assert np.frombuffer(next(CHUNKS.encode([text])), "<u4").tolist() == expected
+    assert chunked([text]) == [expected]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text("aB'sé ÀØß×.,1<|endoftext>\n", max_size=30)), max_size=6))
+def test_columns_of_texts(texts):
+    expected = [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert chunked(texts) == expected
+    assert decoded(texts) == [(ids, LIBRARY.decode(ids, skip_special_tokens=False)) for ids in expected]
 
 
 def test_round_trip_frames(odd_docs, no_docs):
@@ -69,7 +89,7 @@ def test_a_file_gives_single_documents():
 
 
 def test_files_of_a_frame(spark, odd_docs, no_docs):
-    encoder = lambda: worker_encoder(CONTENT).encode
+    encoder = lambda: worker_encoder(CONTENT)
     got = sorted((r for r in read_token_files(write_token_files(odd_docs, encoder, 2).df).collect()), key=lambda r: r["start"])
     docs = sorted(odd_docs.collect(), key=lambda d: (d["doc_id"] is not None, d["doc_id"] or 0, d["text"] or ""))
     start = 0

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Table, few, fresh
+from quillon.llm.common import Table, few, fresh, released, short_batches
 from quillon.llm.components import connected_components
 from quillon.llm.wordcut import BETWEEN_SPACE, cut, mixed, slices, word_hashes
 
@@ -169,7 +169,7 @@ def _sign(docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands)
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(places), pa.array(own.ravel()))], ["id", "key", "n", "d1", "d2", "bands"])
 
     source = docs.select(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(text_col)).toDF("id", "key", "text")
-    return source.mapInArrow(run, "id long, key long, n long, d1 long, d2 long, bands array<long>")
+    return source.mapInArrow(released(run), "id long, key long, n long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, bands: Bands) -> DataFrame:
@@ -184,7 +184,7 @@ def _sets(needed: DataFrame, docs: DataFrame, id_col: str, text_col: str, size:
                 sign = signatures(flat, starts, bands.minima)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ends)), pa.array([r.tobytes() for r in sign], pa.binary()), pa.array([flat[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())], ["rep", "sign", "s"])
 
-    return texts.mapInArrow(run, "rep long, sign binary, s binary").dropDuplicates(["rep"])
+    return texts.mapInArrow(released(run), "rep long, sign binary, s binary").dropDuplicates(["rep"])
 
 
 # comparisons -------------------------------------------------------------
@@ -270,7 +270,7 @@ def _first_links(members: DataFrame, sets: DataFrame, big: DataFrame, percent: i
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     rows = tiles.join(sets, "rep").select("a", "part", "rep", "whole", "sign", "s")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "rep").mapInArrow(run, "u long, v long")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "rep").mapInArrow(released(run), "u long, v long")
 
 
 def block_links(reps: np.ndarray, component: np.ndarray, side: np.ndarray, apart: np.ndarray, compared: Compared) -> list[tuple[int, int]]:
@@ -304,7 +304,7 @@ def _block_links(members: DataFrame, sets: DataFrame, percent: int, bands: Bands
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     rows = left.unionByName(right).join(sets, "rep").select("a", "x", "y", "side", "rep", "component", "apart", "sign", "s")
-    return rows.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(run, "u long, v long")
+    return rows.repartition("a", "x", "y").sortWithinPartitions("a", "x", "y").mapInArrow(released(run), "u long, v long")
 
 
 # the operator ------------------------------------------------------------
@@ -314,6 +314,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     """Row by row: id, key, n, component (of classes; null without a set or an
     id), component_id and alone (whether no other row is in its component)."""
     bands = bands_for(percent)
+    short_batches(docs.sparkSession)
     signed = Table(_sign(docs, id_col, text_col, size, bands).withColumn("row", F.monotonically_increasing_id()), "minhash")
     known = signed.df.where("n > 0 and id is not null")
     classes = known.groupBy("n", "d1", "d2").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count("*").alias("copies"))

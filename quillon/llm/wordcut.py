@@ -170,11 +170,6 @@ class ChunkCache:
         self.kept = {}
 
 
-def release() -> None:
-    """Hands memory that Arrow holds in reserve back, for the worker's next use."""
-    pa.default_memory_pool().release_unused()
-
-
 def joined(values: list[bytes], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values that the numbers name, one after another, and where each
     begins; one more place is the end."""

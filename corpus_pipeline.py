@@ -11,21 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, decontaminate, line_dedup, near_dedup, quality
-from quillon.llm.common import Table
+from quillon.llm.common import Table, fresh, scratch
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.fit_quality(docs.select("doc_id", "text"), labels)
-    return quality.score_quality(docs, model, score_col="_quality").where("_quality >= 0.5").drop("_quality")
+    (score,) = fresh(docs.columns, "score")
+    return quality.score_quality(docs, model, score_col=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines. Documents of which nothing but
     white space is left go: all their lines stand elsewhere."""
-    cut = line_dedup.dedup_lines(docs, lines_col="_n_lines", removed_col="_n_removed")
-    touched = F.col("_n_removed") > 0
+    lines, removed = fresh(docs.columns, "n_lines", "n_removed")
+    cut = line_dedup.dedup_lines(docs, lines_col=lines, removed_col=removed)
+    touched = F.col(removed) > 0
     kept = cut.where(~touched | (F.length(F.regexp_replace("text", r"\s+", "")) > 0))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -66,5 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies all stages to documents; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = Table(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+        with scratch() as own:
+            kept = Table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            own.remove(kept)
+        docs = kept.df
     return STAGES[-1][1](spark, docs, sf_dir)
